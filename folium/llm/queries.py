@@ -8,6 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from folium.llm.near_dups import near_duplicates
 from folium.llm.shared import table
+from folium.llm.substrings import substring_dedup
+
+
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256", "n_repeats")
 
 
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,6 +20,7 @@ def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_substring_dedup": op2_substring_dedup,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
 }
 

@@ -94,6 +94,22 @@ class Words:
             h = (sums[self.ends] - sums[self.starts]) * powers(_BASE_INV, size)[self.starts]
             return mix(h + (self.ends - self.starts).astype(U) * _STEP[0])
 
+    def joined(self, kept: np.ndarray | None = None) -> list[bytes]:
+        """Each text's kept words (all, if not told), joined by one space."""
+        which = np.arange(len(self.starts)) if kept is None else np.flatnonzero(kept)
+        doc = np.searchsorted(self.first, which, side="right") - 1
+        step = np.zeros(len(self.buf) + 1, np.int8)
+        step[self.starts[which]] += 1
+        step[self.ends[which]] -= 1
+        inside = np.cumsum(step[:-1], dtype=np.int8).astype(bool)
+        gaps = self.ends[which[:-1]][doc[:-1] == doc[1:]]
+        inside[gaps] = True
+        out = self.buf.copy()
+        out[gaps] = 0x20
+        at = np.concatenate([[0], np.cumsum(inside)])[self.at]
+        out = out[inside].tobytes()
+        return [out[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+
     def word(self, i: int) -> bytes:
         return self.buf[self.starts[i] : self.ends[i]].tobytes()
 
