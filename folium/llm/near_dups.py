@@ -8,7 +8,8 @@ on the full shingle sets.
 
 Groups are never expanded into pairs: each posting is first joined to its smallest document alone. Confirmed links
 give components, and only documents whose label still differs from that of their posting's smallest document are
-compared with the others there, so a group of thousands of copies costs thousands of comparisons.
+compared with the others there, as far as the number of shingles that each shares with any document allows. So a group of
+thousands of copies costs thousands of comparisons.
 """
 
 from __future__ import annotations
@@ -96,6 +97,18 @@ def confirm(k: int, num: int, den: int):
     return run
 
 
+def exploded_sets(k: int):
+    """mapInArrow function: doc_id, text -> doc_id, shingle for each distinct shingle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            sets = distinct_sets(batch.column("text"), k)
+            doc = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(doc)), pa.array(signed(np.concatenate(sets)))], ["doc_id", "shingle"])
+
+    return run
+
+
 def near_duplicates(docs: DataFrame, k: int = SHINGLE, num: int = NUM, den: int = DEN, m: int = COORDINATES, least: int = LEAST) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs (doc_id, text; other columns are left alone).
 
@@ -141,18 +154,24 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, num: int = NUM, den: int
     hubs = met.groupBy("posting").agg(F.min(F.struct(F.col("doc_id").alias("hub"), F.col("n_shingles").alias("hub_n"))).alias("h")).select("posting", "h.*")
     stars = met.join(hubs, "posting").where((F.col("hub") < F.col("doc_id")) & fits("n_shingles", "hub_n"))
     links = confirmed(stars.select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct(), "stars")
-    # A posting may join documents beside its hub's component: those few are compared with the others of the posting.
+    # A posting may hold documents beside its main component: those are compared with the others that could be similar.
     found = components(links).select(F.col("node").alias("doc_id"), "label")
-    named = met.join(found, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
-    heads = found.select(F.col("doc_id").alias("hub"), F.col("label").alias("hub_label"))
-    apart = named.join(hubs.join(heads, "hub", "left").select("posting", F.coalesce("hub_label", "hub").alias("hub_label")), "posting")
-    apart = apart.where(F.col("label") != F.col("hub_label")).select("posting", "hub_label", F.col("doc_id").alias("x"), F.col("n_shingles").alias("x_n"), F.col("label").alias("x_label"))
-    pairs = (
-        apart.join(named, "posting")
-        .where((F.col("label") != F.col("x_label")) & ((F.col("label") == F.col("hub_label")) | (F.col("x") < F.col("doc_id"))) & fits("n_shingles", "x_n"))
-        .select(F.least("x", "doc_id").alias("a"), F.greatest("x", "doc_id").alias("b")).distinct()
-    )
-    more = confirmed(pairs, "links")
-    labels = components(links.union(more)).select(F.col("node").alias("rep"), "label")
+    named = keep(met.join(found, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id")), "named")
+    counts = named.groupBy("posting", "label").agg(F.count("*").alias("n"))
+    main = counts.groupBy("posting").agg(F.max(F.struct("n", "label"))["label"].alias("main"), F.count("*").alias("labels")).where("labels > 1")
+    named = named.join(main.drop("labels"), "posting")
+    # A set shares no more outside its component than its shingles that occur there, which rules most strays out unpaired.
+    each = wanted.join(named.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(exploded_sets(k), "doc_id long, shingle long")
+    of = keep(each.join(named.select("doc_id", "label").distinct(), "doc_id"), "shingles")
+    seen = of.groupBy("shingle").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("shingle")
+    shared = of.join(seen, "shingle").groupBy("doc_id").agg(F.count("*").alias("shared"))
+    named = keep(named.join(shared, "doc_id").where(F.col("shared") * den >= F.col("n_shingles") * num), "strays")
+    x = named.where("label <> main").select("posting", *(F.col(c).alias(f"x_{c}") for c in ("doc_id", "n_shingles", "label", "shared")))
+    enough = F.least("shared", "x_shared") * (den + num) >= (F.col("n_shingles") + F.col("x_n_shingles")) * num
+    once = (F.col("label") == F.col("main")) | (F.col("x_doc_id") < F.col("doc_id"))
+    pairs = x.join(named, "posting").where((F.col("label") != F.col("x_label")) & fits("n_shingles", "x_n_shingles") & enough & once)
+    pairs = pairs.select(F.least("x_doc_id", "doc_id").alias("a"), F.greatest("x_doc_id", "doc_id").alias("b")).distinct()
+    links = links.union(confirmed(pairs, "links"))
+    labels = components(links).select(F.col("node").alias("rep"), "label")
     component = F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("label", "rep", "doc_id"))
     return members.join(labels, "rep", "left").select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
