@@ -78,17 +78,14 @@ def windows(length: int):
             touched = batch.column("touched").to_pylist()
             unclear = batch.column("unclear").to_pylist()
             shas = [None if x else hashlib.sha256(y).hexdigest() for x, y in zip(touched, words.joined(), strict=True)]
-            hi, lo, start, at = [], [], [], [0]
-            for i, some in enumerate(unclear):
-                own = np.concatenate([np.arange(x["start"], x["start"] + x["n"]) for x in some]) if some else np.zeros(0, np.int64)
-                begin = own + words.first[i]
-                hi.append(signed(spans(h, begin, begin + length, 0)))
-                lo.append(signed(spans(h, begin, begin + length, 1)))
-                start.append(own.astype(np.int32))
-                at.append(at[-1] + len(own))
-            items = pa.StructArray.from_arrays([pa.array(np.concatenate(hi)), pa.array(np.concatenate(lo)), pa.array(np.concatenate(start))], ["hi", "lo", "start"])
+            own = [np.concatenate([np.arange(x["start"], x["start"] + x["n"]) for x in some]) if some else np.zeros(0, np.int64) for some in unclear]
+            at = np.concatenate([[0], np.cumsum([len(x) for x in own])])
+            start = np.concatenate(own)
+            begin = start + np.repeat(words.first[:-1], np.diff(at))
+            hi, lo = (signed(spans(h, begin, begin + length, seed)) for seed in (0, 1))
+            items = pa.StructArray.from_arrays([pa.array(hi), pa.array(lo), pa.array(start.astype(np.int32))], ["hi", "lo", "start"])
             text = pa.array([t if x else None for t, x in zip(batch.column("text").to_pylist(), touched, strict=True)], pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(words.n.astype(np.int64)), pa.array(shas, pa.string()), text, pa.ListArray.from_arrays(pa.array(np.array(at, np.int32)), items)], ["doc_id", "n_words", "kept_sha256", "text", "windows"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(words.n.astype(np.int64)), pa.array(shas, pa.string()), text, pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), items)], ["doc_id", "n_words", "kept_sha256", "text", "windows"])
 
     return run
 
