@@ -42,6 +42,8 @@ def place(spark: SparkSession, name: str) -> str:
 def keep(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts lineage, survives lost executors, is computed once."""
     df.write.parquet(path := place(df.sparkSession, name))
+    # The shuffle files behind it go when the driver collects its garbage, which it may do late.
+    df.sparkSession.sparkContext._jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
