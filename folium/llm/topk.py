@@ -14,24 +14,42 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folium.llm.shared import keep
 
 #: Vectors of a block; queries of a block; coordinates of the partial sum.
-ROWS, QUERIES, HEAD = 16_384, 2_048, 16
+ROWS, QUERIES, HEAD = 4_096, 2_048, 16
+#: Longest vectors that are looked at first, by the driver.
+LONGEST = 1_024
 _EXACT = float(2**53)
 
 
-def matrix(rows: pd.Series, dim: int) -> np.ndarray:
-    """Rows padded with zeros: int64, or Python integers if a product could pass 2**53."""
-    whole = [list(map(int, x)) for x in rows]
-    out = np.zeros((len(whole), dim), object)
-    for i, x in enumerate(whole):
-        out[i, : len(x)] = x
-    top = max((abs(v) for x in whole for v in x), default=0)
-    return out if float(top) ** 2 * dim >= _EXACT else out.astype(np.int64)
+def whole(x: np.ndarray, scale: int) -> np.ndarray:
+    """floor(scale * x) as int64, or as Python's integers if a product could pass 2**53."""
+    x = np.floor(x * float(scale))
+    if x.size and float(np.abs(x).max()) ** 2 * x.shape[1] >= _EXACT:
+        return np.array([[int(v) for v in row] for row in x.tolist()], object).reshape(x.shape)
+    return x.astype(np.int64)
+
+
+def packed(dim: int, rows: int):
+    """mapInPandas function: vec_id, x -> blocks of at most `rows` vectors, numbered by partition and place."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        task, n = TaskContext.get().partitionId(), 0
+        for pdf in frames:
+            for a in range(0, len(pdf), rows):
+                part = pdf.iloc[a : a + rows]
+                x = np.zeros((len(part), dim))
+                for i, v in enumerate(part["x"]):
+                    x[i, : len(v)] = v
+                yield pd.DataFrame({"block": [task * 1_000_000 + n], "ids": [part["vec_id"].to_numpy(np.int64).tobytes()], "data": [x.tobytes()]})
+                n += 1
+
+    return run
 
 
 def best(qid: np.ndarray, q: np.ndarray, vid: np.ndarray, v: np.ndarray, k: int, floor: np.ndarray, basis: np.ndarray) -> list[tuple[int, int, int]]:
@@ -70,17 +88,58 @@ def best(qid: np.ndarray, q: np.ndarray, vid: np.ndarray, v: np.ndarray, k: int,
     return out
 
 
+def unpacked(ids: bytes, data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    ids = np.frombuffer(ids, np.int64)
+    return ids, np.frombuffer(data, np.float64).reshape(len(ids), -1)
+
+
+def searched(k: int, scale: int, basis: np.ndarray, longest: tuple[np.ndarray, np.ndarray]):
+    """mapInArrow function: a block of queries, a block of vectors -> query_id, vec_id, score."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in (r for b in batches for r in b.to_pylist()):
+            qid, q = unpacked(row["q_ids"], row["q_data"])
+            vid, v = unpacked(row["ids"], row["data"])
+            q, v = whole(q, scale), whole(v, scale)
+            lowest = np.full(len(qid), -np.inf)
+            if q.dtype != object and longest[1].dtype != object:
+                scores = (q @ longest[1].T).astype(float)
+                scores[qid[:, None] == longest[0][None, :]] = -np.inf
+                if scores.shape[1] >= k:
+                    lowest = np.partition(scores, -k, axis=1)[:, -k]
+            out = best(qid, q, vid, v, k, lowest, basis)
+            yield pa.RecordBatch.from_pydict({"query_id": [x[0] for x in out], "vec_id": [x[1] for x in out], "score": [x[2] for x in out]}, pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())]))
+
+    return run
+
+
 def top_k(vectors: DataFrame, k: int = 10, modulus: int = 100, scale: int = 1024, rows: int = ROWS, queries: int = QUERIES) -> DataFrame:
     """query_id, rank (from 1), vec_id, score for the k best others of each row whose vec_id is divisible by modulus.
 
     vectors: vec_id, embedding. Components become floor(scale * x). Rows with a null id or vector, or a null or non-finite
-    component, take no part; shorter vectors are padded with zeros. Ties go to the smaller vec_id. Repeated rows of a vec_id
-    are one vector (the first by value). Scores beyond 64 bits are held at the end of the range.
+    component, take no part; shorter vectors are padded with zeros. Ties go to the smaller vec_id. Rows with a query's id
+    are not its candidates; other repeated rows are candidates each, and a repeated query is asked once. Scores beyond 64
+    bits are held at the end of the range. No vectors or no queries: no rows.
     """
-    spark = vectors.sparkSession
-    bad = F.exists("x", lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == F.lit(float("inf"))))
-    base = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("x")).where(F.col("vec_id").isNotNull() & F.col("x").isNotNull() & ~bad)
-    base = base.select("vec_id", F.transform("x", lambda c: F.floor(c * scale).cast("decimal(38,0)").cast("double") if False else F.expr("0")).alias("x")) if False else base
-    base = base.select("vec_id", F.transform("x", lambda c: F.floor(c * F.lit(float(scale)))).alias("x") if False else F.col("x"))
-    base = base.groupBy("vec_id").agg(F.min("x").alias("x"))
-    return base
+    fine = F.forall("x", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))))
+    base = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("x")).where(F.col("vec_id").isNotNull() & F.col("x").isNotNull() & fine)
+    length = F.aggregate("x", F.lit(0.0), lambda s, c: s + F.floor(c * float(scale)).cast("double") * F.floor(c * float(scale)).cast("double"))
+    base = keep(base.select("vec_id", "x", length.alias("length")), "vectors")
+    n, dim = base.agg(F.count("*"), F.coalesce(F.max(F.size("x")), F.lit(0))).first()
+    # The longest vectors give the rotation, and each query a score that k vectors reach.
+    top = base.orderBy(F.desc("length"), "vec_id").limit(LONGEST).select("vec_id", "x").collect()
+    data = np.zeros((len(top), dim))
+    for i, r in enumerate(top):
+        data[i, : len(r.x)] = r.x
+    longest = (np.array([r.vec_id for r in top], np.int64), whole(data, scale))
+    basis = np.linalg.svd(np.floor(data * scale), full_matrices=len(top) < dim)[2].T if len(top) and dim else np.zeros((dim, dim))
+    schema = "block long, ids binary, data binary"
+    blocks = base.repartitionByRange(max(1, -(-n // rows)), F.desc("length"), "vec_id").select("vec_id", "x").mapInPandas(packed(dim, rows), schema)
+    blocks = keep(blocks, "blocks")
+    asked = base.where(F.col("vec_id") % modulus == 0).groupBy("vec_id").agg(F.min("x").alias("x"))
+    asked = keep(asked.repartitionByRange(max(1, -(-n // (modulus * queries))), "vec_id").mapInPandas(packed(dim, queries), schema), "queries")
+    asked = asked.select(F.col("ids").alias("q_ids"), F.col("data").alias("q_data"))
+    pairs = blocks.select("block").crossJoin(asked).join(blocks, "block")
+    found = pairs.repartition("block", "q_ids").select("q_ids", "q_data", "ids", "data").mapInArrow(searched(k, scale, basis, longest), "query_id long, vec_id long, score long")
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
