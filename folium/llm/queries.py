@@ -11,6 +11,7 @@ from folium.llm.contamination import contamination
 from folium.llm.mixing import mix_documents
 from folium.llm.near_dups import near_duplicates
 from folium.llm.quality import quality
+from folium.llm.secrets import secret_digest
 from folium.llm.shared import table
 from folium.llm.substrings import substring_dedup
 from folium.llm.token_files import token_output
@@ -33,6 +34,10 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_digest(table(spark, sf_dir, "documents"))
+
+
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -50,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_source_mixing": op3_source_mixing,
     "op4_exact_top_k": op4_exact_top_k,
     "op6_token_files": op6_token_files,
+    "op7_secret_scan": op7_secret_scan,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_quality_classifier": op10_quality_classifier,
