@@ -14,7 +14,7 @@ from folium.llm.mixing import mix_documents
 from folium.llm.near_dups import near_duplicates
 from folium.llm.quality import quality
 from folium.llm.secrets import secret_digest
-from folium.llm.shared import table
+from folium.llm.shared import ready, table
 from folium.llm.substrings import substring_dedup
 from folium.llm.token_files import token_output
 from folium.llm.topk import top_k
@@ -60,6 +60,12 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(ready(spark), sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_substring_dedup": op2_substring_dedup,
@@ -71,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_quality_classifier": op10_quality_classifier,
+    "pipeline": pipeline,
 }
 
 ORACLES: dict[str, str] = {
