@@ -18,10 +18,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folium.llm.shared import keep
+from folium.llm.shared import forget, keep
 from folium.llm.words import Words, grams, signed, slices, spans
 
 #: Words of a window; words of an anchor.
@@ -84,7 +85,9 @@ def windows(length: int):
             begin = start + np.repeat(words.first[:-1], np.diff(at))
             hi, lo = (signed(spans(h, begin, begin + length, seed)) for seed in (0, 1))
             items = pa.StructArray.from_arrays([pa.array(hi), pa.array(lo), pa.array(start.astype(np.int32))], ["hi", "lo", "start"])
-            text = pa.array([t if x else None for t, x in zip(batch.column("text").to_pylist(), touched, strict=True)], pa.string())
+            # Texts travel once more, for their words to be cut: compressed.
+            pack = zstandard.ZstdCompressor(level=6).compress
+            text = pa.array([pack((t or "").encode()) if x else None for t, x in zip(batch.column("text").to_pylist(), touched, strict=True)], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(words.n.astype(np.int64)), pa.array(shas, pa.string()), text, pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), items)], ["doc_id", "n_words", "kept_sha256", "text", "windows"])
 
     return run
@@ -95,7 +98,8 @@ def removal(length: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            words = Words(batch.column("text"))
+            unpack = zstandard.ZstdDecompressor().decompress
+            words = Words(pa.array([unpack(t).decode() for t in batch.column("text").to_pylist()], pa.large_string()))
             removed, n_spans, stays = [], [], np.ones(len(words.starts), bool)
             for i, some in enumerate(batch.column("repeats").to_pylist()):
                 delta = np.zeros(words.n[i] + 1, np.int64)
@@ -131,12 +135,14 @@ def substring_dedup(docs: DataFrame, length: int = LENGTH, k: int = ANCHOR) -> D
     unclear = firsts.join(several, "anchor").select("first.*", "n").groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("unclear"))
     touched = found.select("doc_id").distinct().join(unclear.withColumnRenamed("doc_id", "d"), F.col("doc_id").eqNullSafe(F.col("d")), "left").select(F.col("doc_id").alias("d"), "unclear", F.lit(True).alias("touched"))
     read = texts.join(touched, F.col("doc_id").eqNullSafe(F.col("d")), "left").select("doc_id", "text", "unclear", F.coalesce("touched", F.lit(False)).alias("touched"))
-    schema = "doc_id long, n_words long, kept_sha256 string, text string, windows array<struct<hi: long, lo: long, start: int>>"
+    schema = "doc_id long, n_words long, kept_sha256 string, text binary, windows array<struct<hi: long, lo: long, start: int>>"
     read = keep(read.mapInArrow(windows(length), schema), "windows")
     each = read.where(F.size("windows") > 0).select("doc_id", F.explode("windows").alias("w")).select("doc_id", "w.*")
     least = each.groupBy("hi", "lo").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("f")).where("f > 1").drop("f")
     single = each.join(least, ["hi", "lo"]).where(~F.struct("doc_id", "start").eqNullSafe(F.col("first"))).select("doc_id", "start", F.lit(1).alias("n"))
     repeats = known.union(single).distinct().groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("repeats")).withColumnRenamed("doc_id", "d")
+    repeats = keep(repeats, "repeats")
+    forget(found), forget(firsts)
     plain = read.where("kept_sha256 is not null").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_repeats"), F.lit(None).cast("string").alias("kept_text"), "kept_sha256")
     cut = read.where("kept_sha256 is null").select("doc_id", "n_words", "text").join(repeats, F.col("doc_id").eqNullSafe(F.col("d")), "left").select("doc_id", "n_words", "text", "repeats")
     cut = cut.mapInArrow(removal(length), "doc_id long, n_words long, n_removed long, n_repeats long, kept string")
