@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 
 U = np.uint64
 #: Texts are worked on in slices of about this many bytes; a longer text is a slice of its own.
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_000_000
 
 
 def byte_set(*ranges: tuple[int, int]) -> np.ndarray:
