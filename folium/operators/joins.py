@@ -73,15 +73,15 @@ def extended_rows(template: DataFrame, values: DataFrame, keys: list[str]) -> Da
 
 
 def inherited(spark: SparkSession, styles: DataFrame, fields: list[str], depth: int = 20) -> DataFrame:
-    """style_id with each field from the nearest style up the based_on chain that sets it; cycles end at `depth` steps.
-
-    A join for each step over the styles that still have a parent; style tables are small, and the steps end early.
-    """
-    found = styles.select("style_id", F.col("based_on").alias("_up"), *fields)
-    base = styles.select(F.col("style_id").alias("_id"), F.col("based_on").alias("_next"), *(F.col(f).alias(f"_{f}") for f in fields))
-    for _ in range(depth):
-        found = found.join(base, F.col("_up") == F.col("_id"), "left").select("style_id", F.col("_next").alias("_up"), *(F.coalesce(f, f"_{f}").alias(f) for f in fields))
-    return found.drop("_up")
+    """style_id with each field from the nearest style up the based_on chain that sets it; cycles end at `depth` steps."""
+    styles.createOrReplaceTempView("_styles")
+    chain = spark.sql(f"""
+        WITH RECURSIVE r(style_id, at, depth) AS (
+            SELECT style_id, style_id, 0 FROM _styles
+            UNION ALL SELECT r.style_id, s.based_on, r.depth + 1 FROM r JOIN _styles s ON r.at = s.style_id WHERE s.based_on IS NOT NULL AND r.depth < {depth})
+        SELECT * FROM r""")
+    up = chain.join(styles.withColumnRenamed("style_id", "at").drop("based_on"), "at")
+    return up.groupBy("style_id").agg(*(F.min(F.when(F.col(f).isNotNull(), F.struct("depth", f)))[f].alias(f) for f in fields))
 
 
 def relation_targets(parts: DataFrame, rels: DataFrame, doc: str) -> DataFrame:
