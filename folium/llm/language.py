@@ -177,10 +177,7 @@ def predicted(shared, prior: bool = False):
             _known[""] = key
         for batch in slices(batches):
             words = Words(batch.column("text"), NOT_SPACE, LOWER)
-            at = np.concatenate([[0], np.cumsum(words.ends - words.starts)])
-            place = np.arange(at[-1]) - np.repeat(at[:-1], np.diff(at)) + np.repeat(words.starts, np.diff(at))
-            column = pa.LargeStringArray.from_buffers(len(words.ends), pa.py_buffer(at.astype(np.int64)), pa.py_buffer(words.buf[place]))
-            coded = pc.dictionary_encode(column)
+            coded = pc.dictionary_encode(words.column(words.ends, words.buf))
             distinct = coded.dictionary.to_pylist()
             new = [w for w in distinct if w not in _known]
             if len(_known) + len(new) > CACHE:

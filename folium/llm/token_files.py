@@ -15,6 +15,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ from folium.llm.shared import keep, place
 from folium.llm.words import LOWER, NOT_SPACE, Words, slices
 
 #: Bits of a chunk; bits of a bitmap between two entries of its rank directory; most ids of a shard; words kept encoded by a worker.
-BITS, RANK, SHARD_IDS, CACHE = 8, 512, 4_000_000, 400_000
+BITS, RANK, SHARD_IDS, CACHE = 8, 512, 4_000_000, 600_000
 END = 1
 
 
@@ -90,7 +91,27 @@ def encoded(doc_id: np.ndarray, sizes: np.ndarray, ids: np.ndarray, bits: int =
     return head + doc_id.astype("<i8").tobytes() + np.concatenate([[0], np.cumsum(sizes)]).astype("<u8").tobytes() + b"".join(body)
 
 
-_known: dict[str, dict] = {}
+class Known:
+    """Words with their ids in one array; place 0 is END."""
+
+    def __init__(self):
+        self.clear()
+
+    def clear(self) -> None:
+        self.at: dict[str, int] = {}
+        self.ids, self.first = np.array([END], np.uint32), np.array([0, 1])
+
+    def add(self, tokenizer, words: list[str]) -> None:
+        if words:
+            new = [e.ids for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+            sizes = np.fromiter(map(len, new), np.int64, len(new))
+            n = len(self.first) - 1
+            self.at.update(zip(words, range(n, n + len(words)), strict=True))
+            self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(new), np.uint32, int(sizes.sum()))])
+            self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(sizes)])
+
+
+_known: dict[str, tuple] = {}
 
 
 class Encoder:
@@ -105,8 +126,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         if path not in _known:
-            _known[path] = {"tokenizer": Tokenizer.from_file(path), "words": {}}
-        self.tokenizer, self.words = _known[path]["tokenizer"], _known[path]["words"]
+            _known[path] = (Tokenizer.from_file(path), Known())
+        self.tokenizer, self.known = _known[path]
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts with END after each, number of each text's ids)."""
@@ -117,23 +138,16 @@ class Encoder:
         letter = ((before | 0x20) >= 97) & ((before | 0x20) <= 122)
         cut = (words.ends - words.starts >= 2) & ((last == 44) | (last == 46)) & letter
         ends = words.ends - cut
-        high = np.concatenate([[0], np.cumsum(buf >= 0x80)])
-        ascii_ = high[ends] == high[words.starts]
-        fold = np.repeat(ascii_, ends - words.starts)
-        place = np.arange(len(fold)) - np.repeat(np.concatenate([[0], np.cumsum(ends - words.starts)[:-1]]), ends - words.starts) + np.repeat(words.starts, ends - words.starts)
-        raw = buf[place]
-        raw = np.where(fold, LOWER[raw], raw)
-        at = np.concatenate([[0], np.cumsum(ends - words.starts)])
-        column = pa.LargeStringArray.from_buffers(len(ends), pa.py_buffer(at.astype(np.int64)), pa.py_buffer(raw))
-        coded = pc.dictionary_encode(column)
-        distinct, index = coded.dictionary.to_pylist() + [".", ","], coded.indices.to_numpy()
-        known = self.words
-        if len(known) > CACHE:
-            known.clear()
-        new = [w for w in distinct if w not in known]
-        if new:
-            known.update(zip(new, (np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)), strict=True))
-        parts = [known[w] for w in distinct] + [np.array([END], np.uint32)]
+        high = np.concatenate([[0], np.cumsum(buf >= 0x80, dtype=np.int32)])
+        plain = high[ends] == high[words.starts]
+        folded = np.where(words.covered(words.starts[plain], ends[plain]), LOWER[buf], buf)
+        coded = pc.dictionary_encode(words.column(ends, folded))
+        distinct, index = [*coded.dictionary.to_pylist(), ".", ","], coded.indices.to_numpy()
+        own = self.known
+        if len(own.at) > CACHE:
+            own.clear()
+        own.add(self.tokenizer, [w for w in distinct if w not in own.at])
+        which = np.append(np.fromiter(map(own.at.__getitem__, distinct), np.int64, len(distinct)), 0)
         # The sequence of parts: each word, then the mark cut from it, and END after each text.
         n, texts_n = len(index), len(words.n)
         extra = np.concatenate([[0], np.cumsum(cut)])
@@ -144,8 +158,7 @@ class Encoder:
         seq[spot[cut] + 1] = len(distinct) - 2 + (last[cut] == 44)
         ends_at = words.first[1:] + extra[words.first[1:]] + np.arange(texts_n)
         seq[ends_at] = len(distinct)
-        sizes = np.array([len(p) for p in parts])
-        pool, begin = np.concatenate(parts), np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        pool, begin, sizes = own.ids, own.first[:-1][which], np.diff(own.first)[which]
         lens = sizes[seq]
         stop = np.cumsum(lens)
         ids = pool[np.arange(stop[-1]) - np.repeat(stop - lens, lens) + np.repeat(begin[seq], lens)] if len(seq) else np.zeros(0, np.uint32)

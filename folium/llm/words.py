@@ -94,6 +94,18 @@ class Words:
             h = (sums[self.ends] - sums[self.starts]) * powers(_BASE_INV, size)[self.starts]
             return mix(h + (self.ends - self.starts).astype(U) * _STEP[0])
 
+    def covered(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Which bytes lie in the ranges, which do not overlap."""
+        step = np.zeros(len(self.buf) + 1, np.int8)
+        step[starts] += 1
+        step[ends] -= 1
+        return np.cumsum(step[:-1], dtype=np.int8).astype(bool)
+
+    def column(self, ends: np.ndarray, buf: np.ndarray) -> pa.LargeStringArray:
+        """The words, up to ends, as an Arrow column; buf: their bytes in place of the text's."""
+        at = np.concatenate([[0], np.cumsum(ends - self.starts)]).astype(np.int64)
+        return pa.LargeStringArray.from_buffers(len(ends), pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(buf[self.covered(self.starts, ends)])))
+
     def joined(self, kept: np.ndarray | None = None) -> list[bytes]:
         """Each text's kept words (all, if not told), joined by one space."""
         which = np.arange(len(self.starts)) if kept is None else np.flatnonzero(kept)
