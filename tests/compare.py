@@ -7,7 +7,7 @@ import duckdb
 
 
 def _norm(v):
-    if v is None or v != v or str(v) in ("NaT", "<NA>"):
+    if v is None or str(v) in ("NaT", "<NA>", "nan"):
         return None
     if hasattr(v, "tolist"):
         v = v.tolist()
