@@ -25,11 +25,16 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folium.llm.shared import keep, place
-from folium.llm.words import LOWER, NOT_SPACE, Words, slices
+from folium.llm.words import LOWER, NOT_SPACE, Words, byte_set, slices
 
 #: Bits of a chunk; bits of a bitmap between two entries of its rank directory; most ids of a shard; words kept encoded by a worker.
-BITS, RANK, SHARD_IDS, CACHE = 8, 512, 4_000_000, 600_000
+BITS, RANK, SHARD_IDS, CACHE = 8, 512, 2_000_000, 300_000
 END = 1
+#: Words encoded as one text; texts encoded at once.
+LINE, MANY = 512, 4096
+#: Marks that make a piece of their own after a letter: ASCII punctuation, but for the apostrophe (contractions) and <, >, | (special tokens); most of them cut.
+MARK, MARKS = byte_set((0x21, 0x26), (0x28, 0x2F), (0x3A, 0x3B), (0x3D, 0x3D), (0x3F, 0x40), (0x5B, 0x60), (0x7B, 0x7B), (0x7D, 0x7E)), 8
+LETTER = byte_set((0x41, 0x5A), (0x61, 0x7A))
 
 
 class Codes:
@@ -71,7 +76,7 @@ class Codes:
         return out
 
     def all(self) -> np.ndarray:
-        out, at = np.zeros(self.n, np.uint32), np.arange(self.n)
+        out, at = np.zeros(self.n, np.uint32), np.arange(self.n, dtype=np.uint32 if self.n < 1 << 32 else np.int64)
         for level, chunk in enumerate(self.chunks):
             out[at] |= chunk.astype(np.uint32) << np.uint32(level * self.bits)
             at = at[np.unpackbits(self.more[level], bitorder="little")[: len(chunk)].astype(bool)]
@@ -79,13 +84,14 @@ class Codes:
 
 
 def encoded(doc_id: np.ndarray, sizes: np.ndarray, ids: np.ndarray, bits: int = BITS) -> bytes:
-    levels, body, now = 0, [], ids.astype(np.uint64)
+    levels, body, now = 0, [], ids.astype(np.uint32)
     while levels == 0 or len(now):
-        further = now >> np.uint64(bits)
+        further = now >> np.uint32(bits)
         more = further > 0
         flags = np.packbits(more, bitorder="little").tobytes()
-        counts = np.concatenate([[0], np.cumsum(more)])[: len(now) + 1 : RANK].astype("<u8")
-        body += [np.array([len(now)], "<u8").tobytes(), (now & np.uint64((1 << bits) - 1)).astype(f"<u{bits // 8}").tobytes(), flags, bytes(-len(flags) % 8), counts.tobytes()]
+        blocks = more[: len(now) // RANK * RANK].reshape(-1, RANK).sum(axis=1, dtype=np.int64)
+        counts = np.concatenate([[0], np.cumsum(blocks)]).astype("<u8")
+        body += [np.array([len(now)], "<u8").tobytes(), (now & np.uint32((1 << bits) - 1)).astype(f"<u{bits // 8}").tobytes(), flags, bytes(-len(flags) % 8), counts.tobytes()]
         now, levels = further[more], levels + 1
     head = b"DAC1" + bytes([bits, levels, 0, 0]) + np.array([len(doc_id), len(ids)], "<u8").tobytes()
     return head + doc_id.astype("<i8").tobytes() + np.concatenate([[0], np.cumsum(sizes)]).astype("<u8").tobytes() + b"".join(body)
@@ -95,20 +101,46 @@ class Known:
     """Words with their ids in one array; place 0 is END."""
 
     def __init__(self):
-        self.clear()
-
-    def clear(self) -> None:
         self.at: dict[str, int] = {}
-        self.ids, self.first = np.array([END], np.uint32), np.array([0, 1])
-
-    def add(self, tokenizer, words: list[str]) -> None:
-        if words:
-            new = [e.ids for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-            sizes = np.fromiter(map(len, new), np.int64, len(new))
-            n = len(self.first) - 1
-            self.at.update(zip(words, range(n, n + len(words)), strict=True))
-            self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(new), np.uint32, int(sizes.sum()))])
-            self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(sizes)])
+        self.ids, self.first, self.met = np.array([END], np.uint32), np.array([0, 1]), np.zeros(1, np.int32)
+
+    def thin(self) -> None:
+        """Forgets the words met in one slice only; all, if that leaves more than half."""
+        stays = np.flatnonzero(self.met > 1)
+        stays = np.append(0, stays[stays > 0] if len(stays) <= len(self.met) // 2 else stays[:0])
+        sizes = np.diff(self.first)[stays]
+        place = np.full(len(self.met), -1)
+        place[stays] = np.arange(len(stays))
+        stop = np.cumsum(sizes)
+        self.ids = self.ids[np.repeat(self.first[stays] - (stop - sizes), sizes) + np.arange(stop[-1])]
+        self.first, self.met = np.concatenate([[0], stop]), np.ones(len(stays), np.int32)
+        self.at = {w: j for w, i in self.at.items() if (j := int(place[i])) > 0}
+
+    def add(self, tokenizer, words: list[str], last: np.ndarray | None) -> None:
+        """last: which ids end a piece; words of letters alone are one piece each, so many are encoded as one text."""
+        alone = [last is not None and w.isascii() and w.isalpha() for w in words]
+        lines = [w for w, x in zip(words, alone, strict=True) if x]
+        self.put(lines, *encode(tokenizer, [" ".join(lines[i : i + LINE]) for i in range(0, len(lines), LINE)], last))
+        others = [w for w, x in zip(words, alone, strict=True) if not x]
+        for i in range(0, len(others), MANY):
+            self.put(others[i : i + MANY], *encode(tokenizer, others[i : i + MANY]))
+
+    def put(self, words: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        if len(sizes) != len(words):
+            raise ValueError("words and pieces differ")
+        n = len(self.first) - 1
+        self.at.update(zip(words, range(n, n + len(words)), strict=True))
+        self.ids = np.concatenate([self.ids, ids])
+        self.met = np.concatenate([self.met, np.zeros(len(words), np.int32)])
+        self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(sizes)])
+
+
+def encode(tokenizer, texts: list[str], last: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of the texts, sizes of each text's ids; of each piece's, if last tells which ids end one)."""
+    new = [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    sizes = np.fromiter(map(len, new), np.int64, len(new))
+    ids = np.fromiter(chain.from_iterable(new), np.uint32, int(sizes.sum()))
+    return ids, sizes if last is None else np.diff(np.flatnonzero(last[ids]), prepend=-1)
 
 
 _known: dict[str, tuple] = {}
@@ -117,8 +149,8 @@ _known: dict[str, tuple] = {}
 class Encoder:
     """Ids of texts by a tokenizer whose words do not reach across white space, with the ids of frequent words kept.
 
-    ASCII words are looked up in lower case, as the tokenizer lower-cases; a word that ends in '.' or ',' after a letter
-    is cut there, as the tokenizer does. Any other word goes to the tokenizer as it is.
+    ASCII words are looked up in lower case, as the tokenizer lower-cases; up to MARKS punctuation marks that end a word
+    after a letter are cut off it, as the tokenizer does. Any other word goes to the tokenizer as it is.
     """
 
     def __init__(self, path: str):
@@ -126,42 +158,61 @@ class Encoder:
         from tokenizers import Tokenizer
 
         if path not in _known:
-            _known[path] = (Tokenizer.from_file(path), Known())
-        self.tokenizer, self.known = _known[path]
+            tokenizer = Tokenizer.from_file(path)
+            suffix, last = getattr(tokenizer.model, "end_of_word_suffix", None), None
+            if suffix:
+                vocab = tokenizer.get_vocab()
+                last = np.zeros(max(vocab.values()) + 1, bool)
+                last[[i for token, i in vocab.items() if token.endswith(suffix)]] = True
+            _known[path] = (tokenizer, Known(), last)
+        self.tokenizer, self.known, self.last = _known[path]
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts with END after each, number of each text's ids)."""
         words = Words(texts, NOT_SPACE)
         buf = words.buf
-        last = buf[np.maximum(words.ends - 1, 0)]
-        before = buf[np.maximum(words.ends - 2, 0)]
-        letter = ((before | 0x20) >= 97) & ((before | 0x20) <= 122)
-        cut = (words.ends - words.starts >= 2) & ((last == 44) | (last == 46)) & letter
-        ends = words.ends - cut
+        ends = words.ends.copy()
+        at = np.flatnonzero(MARK[buf[ends - 1]]) if len(ends) else np.zeros(0, np.int64)
+        for _ in range(MARKS):
+            ends[at] -= 1
+            at = at[ends[at] > words.starts[at]]
+            at = at[MARK[buf[ends[at] - 1]]]
+        cut = np.flatnonzero(ends < words.ends)
+        cut = cut[(ends[cut] > words.starts[cut]) & LETTER[buf[np.maximum(ends[cut] - 1, 0)]]]
+        long = words.ends[cut] - ends[cut]
+        key = np.zeros(len(cut), np.uint64)
+        for j in range(MARKS):
+            some = long > j
+            key[some] |= buf[ends[cut[some]] + j].astype(np.uint64) << np.uint64(8 * j)
+        parted, ends = ends[cut], words.ends.copy()
+        ends[cut] = parted
         high = np.concatenate([[0], np.cumsum(buf >= 0x80, dtype=np.int32)])
         plain = high[ends] == high[words.starts]
         folded = np.where(words.covered(words.starts[plain], ends[plain]), LOWER[buf], buf)
-        coded = pc.dictionary_encode(words.column(ends, folded))
-        distinct, index = [*coded.dictionary.to_pylist(), ".", ","], coded.indices.to_numpy()
+        coded, marks = pc.dictionary_encode(words.column(ends, folded)), pc.dictionary_encode(pa.array(key))
+        distinct = coded.dictionary.to_pylist()
+        n_words = len(distinct)
+        distinct += [x.to_bytes(MARKS, "little").rstrip(b"\0").decode() for x in marks.dictionary.to_pylist()]
         own = self.known
         if len(own.at) > CACHE:
-            own.clear()
-        own.add(self.tokenizer, [w for w in distinct if w not in own.at])
+            own.thin()
+        own.add(self.tokenizer, [w for w in dict.fromkeys(distinct) if w not in own.at], self.last)
         which = np.append(np.fromiter(map(own.at.__getitem__, distinct), np.int64, len(distinct)), 0)
-        # The sequence of parts: each word, then the mark cut from it, and END after each text.
-        n, texts_n = len(index), len(words.n)
-        extra = np.concatenate([[0], np.cumsum(cut)])
+        own.met[which] += 1
+        # The sequence of parts: each word, then the marks cut from it, and END after each text.
+        n, texts_n = len(ends), len(words.n)
+        extra = np.zeros(n + 1, np.int64)
+        extra[cut + 1] = 1
+        np.cumsum(extra, out=extra)
         seq = np.empty(n + extra[-1] + texts_n, np.int64)
-        doc = np.repeat(np.arange(texts_n), words.n)
-        spot = np.arange(n) + extra[:-1] + doc
-        seq[spot] = index
-        seq[spot[cut] + 1] = len(distinct) - 2 + (last[cut] == 44)
+        spot = np.arange(n) + extra[:-1] + np.repeat(np.arange(texts_n), words.n)
+        seq[spot] = coded.indices.to_numpy()
+        seq[spot[cut] + 1] = n_words + marks.indices.to_numpy()
         ends_at = words.first[1:] + extra[words.first[1:]] + np.arange(texts_n)
         seq[ends_at] = len(distinct)
-        pool, begin, sizes = own.ids, own.first[:-1][which], np.diff(own.first)[which]
-        lens = sizes[seq]
+        begin, lens = own.first[:-1][which][seq], np.diff(own.first)[which][seq]
         stop = np.cumsum(lens)
-        ids = pool[np.arange(stop[-1]) - np.repeat(stop - lens, lens) + np.repeat(begin[seq], lens)] if len(seq) else np.zeros(0, np.uint32)
+        ids = own.ids[np.repeat(begin - (stop - lens), lens) + np.arange(stop[-1])] if len(seq) else np.zeros(0, np.uint32)
         per_doc = np.diff(np.concatenate([[0], stop[ends_at]])) if texts_n else np.zeros(0, np.int64)
         return ids, per_doc
 
