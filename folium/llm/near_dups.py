@@ -165,11 +165,14 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, num: int = NUM, den: int
     of = keep(each.join(named.select("doc_id", "label").distinct(), "doc_id"), "shingles")
     seen = of.groupBy("shingle").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("shingle")
     shared = of.join(seen, "shingle").groupBy("doc_id").agg(F.count("*").alias("shared"))
+    shared = shared.join(lists.select("doc_id", "prefix"), "doc_id")
     named = keep(named.join(shared, "doc_id").where(F.col("shared") * den >= F.col("n_shingles") * num), "strays")
-    x = named.where("label <> main").select("posting", *(F.col(c).alias(f"x_{c}") for c in ("doc_id", "n_shingles", "label", "shared")))
+    x = named.where("label <> main").select("posting", *(F.col(c).alias(f"x_{c}") for c in ("doc_id", "n_shingles", "label", "shared", "prefix")))
     enough = F.least("shared", "x_shared") * (den + num) >= (F.col("n_shingles") + F.col("x_n_shingles")) * num
+    # A pair leaves the join at its first common posting (prefixes have one order): others would only repeat it.
+    first = F.try_element_at(F.array_intersect("x_prefix", "prefix"), F.lit(1)) == F.col("posting")
     once = (F.col("label") == F.col("main")) | (F.col("x_doc_id") < F.col("doc_id"))
-    pairs = x.join(named, "posting").where((F.col("label") != F.col("x_label")) & fits("n_shingles", "x_n_shingles") & enough & once)
+    pairs = x.join(named, "posting").where((F.col("label") != F.col("x_label")) & fits("n_shingles", "x_n_shingles") & enough & once & first)
     pairs = pairs.select(F.least("x_doc_id", "doc_id").alias("a"), F.greatest("x_doc_id", "doc_id").alias("b")).distinct()
     links = links.union(confirmed(pairs, "links"))
     labels = components(links).select(F.col("node").alias("rep"), "label")
