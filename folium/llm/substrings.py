@@ -132,8 +132,12 @@ def substring_dedup(docs: DataFrame, length: int = LENGTH, k: int = ANCHOR) -> D
         found.join(firsts.select("anchor", "stretch", "first"), ["anchor", "stretch"])
         .where(~F.struct("doc_id", "start").eqNullSafe(F.col("first"))).select("doc_id", "start", "n")
     )
+    known = keep(known, "known")
     unclear = firsts.join(several, "anchor").select("first.*", "n").groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("unclear"))
     touched = found.select("doc_id").distinct().join(unclear.withColumnRenamed("doc_id", "d"), F.col("doc_id").eqNullSafe(F.col("d")), "left").select(F.col("doc_id").alias("d"), "unclear", F.lit(True).alias("touched"))
+    touched = keep(touched, "touched")
+    # Anchors go before texts are dealt out, so that the two never lie on disk together.
+    forget(found), forget(firsts)
     read = texts.join(touched, F.col("doc_id").eqNullSafe(F.col("d")), "left").select("doc_id", "text", "unclear", F.coalesce("touched", F.lit(False)).alias("touched"))
     schema = "doc_id long, n_words long, kept_sha256 string, text binary, windows array<struct<hi: long, lo: long, start: int>>"
     read = keep(read.mapInArrow(windows(length), schema), "windows")
@@ -142,7 +146,7 @@ def substring_dedup(docs: DataFrame, length: int = LENGTH, k: int = ANCHOR) -> D
     single = each.join(least, ["hi", "lo"]).where(~F.struct("doc_id", "start").eqNullSafe(F.col("first"))).select("doc_id", "start", F.lit(1).alias("n"))
     repeats = known.union(single).distinct().groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("repeats")).withColumnRenamed("doc_id", "d")
     repeats = keep(repeats, "repeats")
-    forget(found), forget(firsts)
+    forget(known), forget(touched)
     plain = read.where("kept_sha256 is not null").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_repeats"), F.lit(None).cast("string").alias("kept_text"), "kept_sha256")
     cut = read.where("kept_sha256 is null").select("doc_id", "n_words", "text").join(repeats, F.col("doc_id").eqNullSafe(F.col("d")), "left").select("doc_id", "n_words", "text", "repeats")
     cut = cut.mapInArrow(removal(length), "doc_id long, n_words long, n_removed long, n_repeats long, kept string")
