@@ -156,6 +156,23 @@ def test_contamination(spark, docs, empty):
     assert contamination.contamination(docs, bench.where("false")).where("contaminated").count() == 0
 
 
+def test_contamination_at_every_offset(spark):
+    item = "every green river flows past seven old stone mills before reaching some quiet northern harbour after long rainy winters"
+    bench = spark.createDataFrame([(1, item), (2, "Which metal melts in warm hands"), (3, "Define osmosis"), (4, "42"), (5, "who wrote this 9 km song")], "item_id long, text string")
+    cut = lambda n, at: " ".join(item.split()[at : at + n])
+    made, want = [], {}
+    for k in range(7):
+        lead = " ".join(["filler", "pad"] * 4).split()[:k]
+        for text, ids in ((cut(10, 2), [1]), (cut(11, 3), [1]), (cut(9, 2), []), ("Which metal melts in warm hands?", [2]), ("Define osmosis.", [3]), ("42,", [4]), ("43", []), ("Explain osmosis", []), ("who wrote this 8 km song", [5])):
+            i = len(made)
+            made.append((i, " ".join([*lead, text, "end"])))
+            want[i] = ids
+    got = {r.doc_id: r.item_ids for r in contamination.contamination(spark.createDataFrame(made, "doc_id long, text string"), bench).collect()}
+    assert got == want
+    few = {r.doc_id: r.item_ids for r in contamination.contamination(spark.createDataFrame(made, "doc_id long, text string"), bench, broadcast_windows=0).collect()}
+    assert few == want
+
+
 def test_quality(spark, docs, empty):
     rng = random.Random(4)
     common = ["the", "of", "and", "to", "in", "that"]
