@@ -1,9 +1,9 @@
 """License scans by a positional rare-token index (operator 5).
 
-The templates are short characteristic texts of licences; each word of a template is posted with its template and place. A
-file looks up its rarest licence words, by document frequency over all files, one word of every template at least. Where
-postings of a template agree on the template's start in the file, the template is laid there: its words are compared
-by position, and it counts if enough of them stand, with its mandatory key phrases whole.
+The templates are short characteristic texts of licences. A file looks up one word of every template: of those in its
+mandatory key phrases the rarest by document frequency over all files, posted with its places in them. Wherever that word
+stands the template is laid, at every start that would put it in its place: its words are compared by position, and it counts
+if enough of them stand, with its key phrases whole. So every start that can count is tried.
 """
 
 from __future__ import annotations
@@ -35,8 +35,8 @@ TEMPLATES = (
     ("unlicense", "this is free and unencumbered software released into the public domain", "free and unencumbered software"),
     ("proprietary", "all rights reserved no part of this work may be reproduced or transmitted in any form without prior written permission", "all rights reserved"),
 )
-#: Rarest words of a file that are looked up first; fraction of a template's words that must stand; words by which it may be shifted.
-RARE, COVER, SLACK = 12, 0.75, 1
+#: Fraction of a template's words that must stand; words by which it may be shifted; starts compared at once.
+COVER, SLACK, STARTS = 0.75, 1, 4096
 
 
 @dataclass
@@ -102,44 +102,40 @@ def frequencies(own: Index):
 def scanned(own: Index, df: np.ndarray):
     """mapInArrow function: doc_id, text -> the digest of each document."""
     rank = np.argsort(np.argsort(df, kind="stable"), kind="stable")  # 0: rarest
-    postings: dict[int, list[tuple[int, int]]] = {}
-    for t, (_, places, _, _) in enumerate(own.templates):
-        for p, w in enumerate(places.tolist()):
-            postings.setdefault(w, []).append((t, p))
-    # A template's own rarest word is always looked up, so a file full of other licence words hides none.
-    anchors = [min(places.tolist(), key=lambda w: rank[w]) for _, places, _, _ in own.templates]
-    anchor_words = set(anchors)
+    # Each template's rarest key word, and one phrase's places of it: a start that counts has it there.
+    anchors: list[tuple[int, int]] = []
+    for _, template, keys, _ in own.templates:
+        p = min((p for a, b in keys for p in range(a, b)), key=lambda p: rank[template[p]])
+        anchors.append((int(template[p]), p))
+    anchor_words = np.zeros(len(own.words) + 1, bool)
+    anchor_words[[w for w, _ in anchors]] = True
 
     def document(which: np.ndarray) -> tuple[list[tuple[int, str]], dict[str, float]]:
-        at = np.flatnonzero(which >= 0)
+        at = np.flatnonzero(anchor_words[which])
         mine = which[at]
-        have = sorted(set(mine.tolist()), key=lambda w: rank[w])
-        look = set(have[:RARE]) | (anchor_words & set(have))
-        places: dict[int, np.ndarray] = {w: at[mine == w] for w in look}
+        places: dict[int, np.ndarray] = {w: at[mine == w] for w in set(mine.tolist())}
         exact: set[tuple[int, int]] = set()
-        starts: dict[int, list[np.ndarray]] = {}
-        for w in look:
-            for t, p in postings[w]:
-                if not own.templates[t][3]:
-                    starts.setdefault(t, []).append(places[w] - p)
-                elif w == anchors[t]:
-                    size = len(own.templates[t][1])
-                    for s in (places[w] - p)[(places[w] >= p) & (places[w] - p + size <= len(which))].tolist():
-                        if (which[s : s + size] == own.templates[t][1]).all():
-                            exact.add((s, t))
         scores: dict[str, float] = {}
-        for t, found in starts.items():
-            label, template, keys, _ = own.templates[t]
-            begin, votes = np.unique(np.concatenate(found), return_counts=True)
-            known = len({w for w in template.tolist() if w in look})
-            for s in begin[votes >= max(2, min(known, 3) - 1)].tolist():
-                good = np.zeros(len(template), bool)
+        for t, (w, p) in enumerate(anchors):
+            if w not in places:
+                continue
+            label, template, keys, whole = own.templates[t]
+            size, found = len(template), places[w] - p
+            if whole:
+                for s in found[(found >= 0) & (found + size <= len(which))].tolist():
+                    if (which[s : s + size] == template).all():
+                        exact.add((s, t))
+                continue
+            begin = np.unique(np.concatenate([found - shift for shift in range(-SLACK, SLACK + 1)]))
+            for i in range(0, len(begin), STARTS):
+                good = np.zeros((len(begin[i : i + STARTS]), size), bool)
                 for shift in range(-SLACK, SLACK + 1):
-                    place = np.arange(len(template)) + s + shift
+                    place = begin[i : i + STARTS, None] + shift + np.arange(size)
                     inside = (place >= 0) & (place < len(which))
-                    good[inside] |= which[place[inside]] == template[inside]
-                if good.mean() >= COVER and all(good[a:b].all() for a, b in keys):
-                    scores[label] = max(scores.get(label, 0.0), float(good.mean()))
+                    good |= inside & (which[np.where(inside, place, 0)] == template)
+                kept = (good.mean(axis=1) >= COVER) & np.logical_and.reduce([good[:, a:b].all(axis=1) for a, b in keys])
+                if kept.any():
+                    scores[label] = max(scores.get(label, 0.0), float(good.mean(axis=1)[kept].max()))
         return sorted((s, own.templates[t][0]) for s, t in exact), scores
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -111,6 +111,14 @@ def test_licenses(spark, docs, empty):
     assert licenses.licenses(docs).count() == len(ROWS) and licenses.licenses(empty).count() == 0
 
 
+def test_licenses_in_files_of_many(spark):
+    rng = random.Random(9)
+    made = [(n * 100 + i, rng.sample(licenses.TEMPLATES, n)) for n in (3, 5, 9, len(licenses.TEMPLATES)) for i in range(30)]
+    rows = [(i, " and then ".join(text for _, text, _ in some)) for i, some in made]
+    got = {r.doc_id: set(r.labels.split(",")) for r in licenses.licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all({label for label, _, _ in some} <= got[i] for i, some in made)
+
+
 def test_tokens(docs, empty):
     from tokenizers import Tokenizer
 
