@@ -2,7 +2,8 @@
 
 Two first-order character models are trained from labelled strings: random ones and ordinary identifiers. A candidate's score
 is the log-likelihood ratio of the two by character. Rules find assignments, access keys and long hex runs; the models add
-other long runs of key characters that look random.
+other long runs of key characters that look random, and of a run that does not as a whole (a value glued to a key name or
+path) every stretch that does.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ ASSIGN = r"""(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][e
 ACCESS, HEX = r"AKIA[A-Z0-9]{14,}", r"[0-9a-f]{16,}"
 #: A run that the models judge: its characters, and log-likelihood ratio in nats a step from which it is a secret.
 CANDIDATE, THRESHOLD = r"[A-Za-z0-9+/_=-]{20,}", 0.6
+#: Least characters of a stretch, and nats below its best end at which a stretch is closed.
+STRETCH, DROP = 20, 6.0
 #: Other characters share the last place.
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 SIZE = len(ALPHABET) + 1
@@ -102,18 +105,56 @@ def score(value: Column, model: list[float]) -> Column:
     return F.aggregate(steps(value), F.lit(0.0), lambda s, p: s + F.get(table, p)) / F.greatest(F.length(value) - 1, F.lit(1))
 
 
+def stretches(value: Column, model: list[float], threshold: float) -> Column:
+    """(start, stop) of stretches of a value, STRETCH characters at least, that look random: the best sums of nats above the threshold."""
+    table, least = F.lit(model), STRETCH - 1
+    pair = "array<struct<start: int, stop: int>>"
+    start = F.struct(
+        F.lit(0).alias("origin"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("lag"), F.lit(None).cast("double").alias("low"), F.lit(0).alias("low_at"),
+        F.lit(None).cast("double").alias("best"), F.lit(0).alias("a"), F.lit(0).alias("b"), F.array().cast(pair).alias("found"),
+    )
+    let = lambda x, body: F.get(F.transform(F.array(x), body), F.lit(0))
+    closed = lambda s: F.concat(s["found"], F.array(F.struct(s["a"].alias("start"), s["b"].alias("stop"))))
+
+    def over(gains: Column) -> Column:
+        def step(s: Column, i: Column) -> Column:
+            at = i - least + 1  # the last place where a stretch that ends here may begin
+            there = at >= s["origin"]
+            lag = F.when(at > s["origin"], s["lag"] + F.get(gains, at - 1)).otherwise(F.lit(0.0))
+            one = let(F.struct((s["sum"] + F.get(gains, i)).alias("sum"), lag.alias("lag")), lambda x: let((there & (s["low"].isNull() | (x["lag"] < s["low"]))), lambda new: F.struct(
+                x["sum"].alias("sum"), x["lag"].alias("lag"), F.when(new, x["lag"]).otherwise(s["low"]).alias("low"), F.when(new, at).otherwise(s["low_at"]).alias("low_at"))))
+
+            def after(x: Column) -> Column:
+                now = x["sum"] - x["low"]
+                better = F.coalesce((now >= 0) & (s["best"].isNull() | (now > s["best"])), F.lit(False))
+                end = F.coalesce((now < 0) | (now < s["best"] - DROP), F.lit(False)) & s["best"].isNotNull()
+                none = F.lit(None).cast("double")
+                return F.when(end, F.struct((i + 1).alias("origin"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("lag"), none.alias("low"), F.lit(0).alias("low_at"), none.alias("best"), F.lit(0).alias("a"), F.lit(0).alias("b"), closed(s).alias("found"))).otherwise(
+                    F.struct(s["origin"].alias("origin"), x["sum"].alias("sum"), x["lag"].alias("lag"), x["low"].alias("low"), x["low_at"].alias("low_at"), F.when(better, now).otherwise(s["best"]).alias("best"),
+                             F.when(better, x["low_at"]).otherwise(s["a"]).alias("a"), F.when(better, i + 2).otherwise(s["b"]).alias("b"), s["found"].alias("found")))
+
+            return let(one, after)
+
+        return F.aggregate(F.sequence(F.lit(0), F.size(gains) - 1), start, step, lambda s: F.when(s["best"].isNotNull(), closed(s)).otherwise(s["found"]))
+
+    return let(F.transform(steps(value), lambda p: F.get(table, p) - threshold), lambda g: F.when(F.size(g) >= least, over(g)).otherwise(F.array().cast(pair)))
+
+
 def secrets(docs: DataFrame, labelled: DataFrame | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, found: an array of (start, stop, kind, value) by start, then kind, for each row of docs (doc_id, text).
 
-    Offsets are code points, stop exclusive. A null text is empty. Runs that the models find are left out where a rule's span
-    lies in or over them. Repeated rows are scanned each.
+    Offsets are code points, stop exclusive. A null text is empty. Runs and stretches that the models find are left out where a
+    rule's span lies in or over them. Repeated rows are scanned each.
     """
     model = train(samples(docs.sparkSession) if labelled is None else labelled)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rules = F.concat(spans(F.col("text"), "assign", ASSIGN, 1, 12), spans(F.col("text"), "access", ACCESS), spans(F.col("text"), "hex", HEX))
     runs = spans(F.col("text"), "random", CANDIDATE)
     both = texts.select("doc_id", rules.alias("rules"), runs.alias("runs"))
-    clear = F.filter("runs", lambda r: (score(r["value"], model) >= threshold) & ~F.exists("rules", lambda x: (x["start"] < r["stop"]) & (x["stop"] > r["start"])))
+    free = lambda r: ~F.exists("rules", lambda x: (x["start"] < r["stop"]) & (x["stop"] > r["start"]))
+    part = lambda r: F.transform(stretches(r["value"], model, threshold), lambda t: F.struct(
+        (r["start"] + t["start"]).alias("start"), (r["start"] + t["stop"]).alias("stop"), r["kind"].alias("kind"), F.substring(r["value"], t["start"] + 1, t["stop"] - t["start"]).alias("value")))
+    clear = F.filter(F.flatten(F.transform("runs", lambda r: F.when((score(r["value"], model) >= threshold) & free(r), F.array(r)).otherwise(part(r)))), free)
     order = lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(a["kind"] - b["kind"])
     return both.select("doc_id", F.array_sort("rules", order).alias("rules"), clear.alias("extra")).select("doc_id", "rules", F.array_sort(F.concat("rules", "extra"), order).alias("found"))
 

@@ -154,6 +154,23 @@ def test_random_strings_differ_from_identifiers(spark):
     assert all(r.hit == bool(r.random) for r in rows)
 
 
+def test_glued_secrets(spark):
+    rng = random.Random(11)
+    value = lambda n: "".join(rng.choice(secrets.ALPHABET[:64]) for _ in range(n))
+    names = ("AWS_SECRET_ACCESS_KEY=", "database_connection_string=", "config/default/storage/account_")
+    made, want = [], {}
+    for i in range(90):
+        a, b = value((32, 40, 64)[i % 3]), value(40)
+        made.append((i, f"x {names[i // 3 % 3]}{a} y {names[0]}{a}/database_connection_string={b} z"))
+        want[i] = [(made[-1][1].index(a), len(a)), (made[-1][1].rindex(a), len(a)), (made[-1][1].index(b), len(b))]
+    plain = secrets.IDENTIFIERS.split()
+    made += [(1000 + i, rng.choice("_/").join(rng.choices(plain, k=rng.randrange(4, 9)))) for i in range(200)]
+    got = {r.doc_id: [tuple(map(int, x.split(":")[1:])) for x in r.spans.split(",") if x] for r in secrets.secret_digest(spark.createDataFrame(made, "doc_id long, text string")).collect()}
+    hit = [any(min(stop, at + n) - max(start, at) >= 0.6 * n for start, stop in got[i]) for i in want for at, n in want[i]]
+    assert sum(hit) >= 0.95 * len(hit), sum(hit) / len(hit)
+    assert sum(bool(got[1000 + i]) for i in range(200)) == 0
+
+
 def test_contamination(spark, docs, empty):
     item = "A train leaves Paris at 7 and runs 120 km in 3 hours how long does it take to come back"
     bench = spark.createDataFrame([(1, item), (2, None), (3, "short one")], "item_id long, text string")
