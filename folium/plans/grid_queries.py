@@ -60,8 +60,22 @@ def asof_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
     m AS (SELECT DISTINCT t, row AS r1, col AS c1, row + 1 AS r2, col + 1 AS c2 FROM n WHERE row % 2 = 0)
     SELECT t, row, col FROM cells WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.t = cells.t AND row BETWEEN r1 AND r2 AND col BETWEEN c1 AND c2 AND NOT (row = r1 AND col = c1))""")
 def merge_cover_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cells of order tables that no merged block covers beside its anchor."""
-    n = table(spark, sf_dir, "lineitem").where("l_orderkey % 10 = 1").select(F.col("l_orderkey").alias("t"), (F.col("l_linenumber") - 1).cast("int").alias("row"), (F.col("l_suppkey") % 3).cast("int").alias("col"))
+    """Cells of every tenth order's table that no merged block covers beside its anchor."""
+    return _uncovered_cells(table(spark, sf_dir, "lineitem").where("l_orderkey % 10 = 1"))
+
+
+@query("""
+    WITH n AS (SELECT l_orderkey AS t, (l_linenumber - 1)::INT AS row, (l_suppkey % 3)::INT AS col FROM lineitem),
+    cells AS (SELECT DISTINCT t, row, c::INT AS col FROM n, range(0, 4) g(c)),
+    m AS (SELECT DISTINCT t, row AS r1, col AS c1, row + 1 AS r2, col + 1 AS c2 FROM n WHERE row % 2 = 0)
+    SELECT t, row, col FROM cells WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.t = cells.t AND row BETWEEN r1 AND r2 AND col BETWEEN c1 AND c2 AND NOT (row = r1 AND col = c1))""")
+def merge_cover_anti_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells of all order tables that no merged block covers beside its anchor."""
+    return _uncovered_cells(table(spark, sf_dir, "lineitem"))
+
+
+def _uncovered_cells(items: DataFrame) -> DataFrame:
+    n = items.select(F.col("l_orderkey").alias("t"), (F.col("l_linenumber") - 1).cast("int").alias("row"), (F.col("l_suppkey") % 3).cast("int").alias("col"))
     cells = n.select("t", "row", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("col")).distinct()
     merges = n.where("row % 2 = 0").select("t", F.col("row").alias("r1"), F.col("col").alias("c1"), (F.col("row") + 1).alias("r2"), (F.col("col") + 1).alias("c2")).distinct()
     return joins.uncovered(cells, merges, ["t"])

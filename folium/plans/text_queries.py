@@ -86,6 +86,14 @@ def txt_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.md5(T.txt_decode(F.col("html"), F.lit("\n"), F.lit(False))).alias("source_md5"), F.md5("html").alias("html_md5"))
 
 
+@query()
+def txt_roundtrip_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All texts encoded and decoded again, with their own line end and byte order mark; mixed line ends become the first one's."""
+    t = F.col("text")
+    docs = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", T.txt_encode(t).alias("html"), F.when(T.crlf(t), "\r\n").otherwise("\n").alias("eol"), t.startswith(T.BOM).alias("bom"))
+    return docs.select("doc_id", F.md5(T.txt_decode(F.col("html"), F.col("eol"), F.col("bom"))).alias("source_md5"), F.md5("html").alias("html_md5"))
+
+
 @query(r"""
     SELECT page_id, len(regexp_extract(html, '(?is)^(.*<body\b[^>]*>)(.*)(</body>.*)$', 1))::INT AS n_prefix, len(regexp_extract(html, '(?is)^(.*<body\b[^>]*>)(.*)(</body>.*)$', 3))::INT AS n_suffix,
            md5(CASE WHEN regexp_matches(html, '(?is)^(.*<body\b[^>]*>)(.*)(</body>.*)$') THEN regexp_extract(html, '(?is)^(.*<body\b[^>]*>)(.*)(</body>.*)$', 2) ELSE html END) AS body_md5,
@@ -205,13 +213,31 @@ def csv_ragged_width(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.size("rows").alias("n_rows"), F.array_max(F.transform("rows", F.size)).alias("n_cols"))
 
 
+@query()
+def csv_ragged_width_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """csv_ragged_width of all texts, quoted ones and all line ends too; no width without rows."""
+    from folium.sources.csvfile import parse_csv
+
+    rows = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", parse_csv(F.col("text"), F.lit("|")).alias("rows"))
+    return rows.select("doc_id", F.size("rows").alias("n_rows"), F.array_max(F.transform("rows", F.size)).alias("n_cols"))
+
+
 @query(r"""
     SELECT conv_id, turn, text = '' OR regexp_matches(text, '[:：]\s*$') OR NOT regexp_matches(text, '\S') AS target, regexp_replace(regexp_extract(text, '^(.{1,40}?)\s*[:：]\s*$', 1), '^\s+|\s+$', '', 'g') AS label
     FROM (SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN substr(text, 1, 12) || ' :' WHEN 1 THEN '  ' ELSE text END AS text FROM conversations WHERE text IS NOT NULL AND NOT contains(substr(text, 1, 12), chr(10)))""")
 def fill_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _targets(table(spark, sf_dir, "conversations").where("text is not null and not contains(substring(text, 1, 12), '\n')"))
+
+
+@query()
+def fill_targets_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """fill_targets of all turns, also those with a line end early on."""
+    return _targets(table(spark, sf_dir, "conversations").where("text is not null"))
+
+
+def _targets(turns: DataFrame) -> DataFrame:
     n = F.col("turn") % 3
-    t = table(spark, sf_dir, "conversations").where("text is not null and not contains(substring(text, 1, 12), '\n')")
-    t = t.select("conv_id", "turn", F.when(n == 0, F.concat(F.substring("text", 1, 12), F.lit(" :"))).when(n == 1, "  ").otherwise(F.col("text")).alias("t"))
+    t = turns.select("conv_id", "turn", F.when(n == 0, F.concat(F.substring("text", 1, 12), F.lit(" :"))).when(n == 1, "  ").otherwise(F.col("text")).alias("t"))
     return t.select("conv_id", "turn", T.is_fill_target(F.col("t")).alias("target"), T.self_label(F.col("t")).alias("label"))
 
 
