@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import html as entities
+import re
+from html.parser import HTMLParser
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from folium.functions.detect import DELIMITERS, SPACE
 
@@ -116,10 +122,68 @@ def txt_encode(text: Column) -> Column:
     return F.array_join(F.transform(lines(body), lambda x: F.concat(F.lit('<p class="txt-line">'), escape(x), F.lit("</p>"))), "\n")
 
 
+class _Blocks(HTMLParser):
+    """Texts of the paragraphs and divisions in the order in which they open, a nested one also in those around it; and the whole text."""
+
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=False)
+        self.lines, self.blocks, self.open, self.whole = [], [], [], []
+
+    def handle_starttag(self, tag, attrs):
+        if tag in ("p", "div"):
+            if self.open and self.open[-1][0] == "p":
+                self.open.pop()
+            block = (tag, [])
+            self.blocks.append(block[1])
+            if tag == "p" and "txt-line" in (dict(attrs).get("class") or "").split():
+                self.lines.append(block[1])
+            self.open.append(block)
+        elif tag == "br":
+            self.handle_data("\n")
+
+    def handle_endtag(self, tag):
+        if any(t == tag for t, _ in self.open):
+            while self.open.pop()[0] != tag:
+                pass
+
+    def handle_data(self, data):
+        for x in (self.whole, *(x for _, x in self.open)):
+            x.append(data)
+
+    def handle_entityref(self, name):
+        self.handle_data(entities.unescape(f"&{name};"))
+
+    def handle_charref(self, name):
+        self.handle_data(entities.unescape(f"&#{name};"))
+
+
+def edited_text(html: str) -> str:
+    """Lines of edited HTML: its p.txt-line, else its p and div blocks, else all its text."""
+    def read(x: str) -> _Blocks:
+        out = _Blocks()
+        out.feed(x)
+        out.close()
+        return out
+
+    found = read(re.sub(r"(?i)<br\s*/?>(?:\r?\n)?", "<br>", html))
+    blocks = found.lines or found.blocks
+    return "\n".join("".join(x) for x in blocks) if blocks else "".join(read(html).whole)
+
+
+@F.pandas_udf(StringType())
+def _edited_text(html: pd.Series) -> pd.Series:
+    return html.map(edited_text, na_action="ignore")
+
+
+#: HTML as txt_encode writes it: nothing but lines.
+_ENCODED = r'(?s)\A<p class="txt-line">[^<>]*</p>(?:\n<p class="txt-line">[^<>]*+</p>)*+\z'
+
+
 def txt_decode(html: Column, eol: Column, bom: Column) -> Column:
-    """The paragraphs' text, joined by eol."""
+    """The lines' text, joined by eol; edited HTML is parsed."""
+    as_made = F.rlike(html, F.lit(_ENCODED))
     inner = F.regexp_extract_all(html, F.lit(r'(?s)<p class="txt-line">(.*?)</p>'), F.lit(1))
-    text = F.array_join(F.transform(inner, lambda x: unescape(F.regexp_replace(F.regexp_replace(x, r"(?i)<br\s*/?>(\r?\n)?", "\n"), "<[^>]+>", ""))), "\n")
+    text = F.when(as_made, F.array_join(F.transform(inner, unescape), "\n")).otherwise(_edited_text(F.when(~as_made, html)))
     pieces = F.array_join(F.split(text, NEWLINE, -1), "\n")
     return F.concat(F.when(bom, BOM).otherwise(""), F.replace(pieces, F.lit("\n"), eol))
 

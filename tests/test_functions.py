@@ -41,6 +41,20 @@ def test_txt_round_trip(spark):
         assert one(spark, T.txt_decode(T.txt_encode(t), eol, t.startswith(T.BOM)))[0] == text
 
 
+def test_edited_txt(spark):
+    cases = {
+        '<p class="txt-line" style="x">a &amp; b</p>\n<p id="k" class="new txt-line">c<br>\nd</p>': "a & b\nc\nd", "<p>a</p><div>b&nbsp;<b>c</b></div>": "a\nb\xa0c",
+        "<div>x<div>y</div></div>": "xy\ny", "just <b>text</b> &lt;here&gt;": "just text <here>", '<p class="txt-line">in</p><p>out</p>': "in", '<p class="txt-line"></p>': "", "": "",
+    }
+    got = spark.createDataFrame([(k,) for k in cases], "h string").select("h", T.txt_decode(F.col("h"), F.lit("\n"), F.lit(False))).collect()
+    assert {r[0]: r[1] for r in got} == cases
+
+
+def test_html_encode(spark):
+    got = one(spark, T.html_encode(F.lit("\ufeff<html><body class=x>\n<p>a</p></body></html>")), T.html_encode(F.lit("<p>b</p>")), T.html_encode(F.lit("<html><body> \n</body></html>")))
+    assert list(got) == ["\n<p>a</p>", "<p>b</p>", ""]
+
+
 def test_csv():
     assert parsed('a,"b,""c\nd"e,\r\nx\n', ",") == [["a", 'b,"c\nde', ""], ["x"]]
     assert parsed("", ",") == [] and parsed(None, ",") == [] and parsed('""', ",") == []
