@@ -7,9 +7,12 @@ must meet in the first len - least + 1 of it, so only that prefix is joined, and
 on the full shingle sets.
 
 Groups are never expanded into pairs: each posting is first joined to its smallest document alone. Confirmed links
-give components, and only documents whose label still differs from that of their posting's smallest document are
-compared with the others there, as far as the number of shingles that each shares with any document allows. So a group of
-thousands of copies costs thousands of comparisons.
+give components, and what then stands beside the main component of a posting (a stray) is compared with the others there
+through the posting's pivot, a document of the main component. Two sets share at most the smaller of their parts
+within the pivot's set, and outside it only shingles that both have. So documents of one size and one share of the pivot are
+one class, and a stray meets classes: where these parts alone could suffice, their members are compared; where they cannot, the
+two must share as many other shingles as are lacking, which an inverted join on these finds. Neither drops a pair
+that could be similar, and a group of thousands of copies costs thousands of comparisons.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folium.llm.components import components
@@ -30,6 +33,8 @@ U = np.uint64
 SHINGLE, NUM, DEN = 5, 75, 100
 #: Coordinates, and collisions that keep a pair: a pair at 0.75 has 36 on average, and under 23 with a chance of about 1e-5.
 COORDINATES, LEAST = 48, 23
+#: Parts that a class of equal sets is dealt out in.
+PARTS = 64
 
 
 def shingle_sets(texts: pa.Array, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -109,6 +114,53 @@ def exploded_sets(k: int):
     return run
 
 
+def stray_pairs(named: DataFrame, of: DataFrame, num: int, den: int) -> DataFrame:
+    """a < b: pairs of one posting, of different components, whose sets could be similar by their parts in and outside a pivot.
+
+    named: posting, doc_id, n_shingles, label, main; of: doc_id, shingle.
+    """
+    first = F.min(F.struct((F.col("label") != F.col("main")).alias("away"), F.col("doc_id").alias("pivot"), F.col("label").alias("home")))
+    pivots = named.groupBy("posting").agg(first.alias("p")).select("posting", "p.pivot", "p.home")
+    beside = named.join(pivots, "posting").select("pivot", "home", "doc_id", "n_shingles", "label").distinct()
+    # A pivot whose documents are all of one component has no stray.
+    mixed = beside.groupBy("pivot").agg(F.max(F.col("label") != F.col("home")).alias("mixed")).where("mixed").select("pivot")
+    beside = keep(beside.join(mixed, "pivot", "left_semi"), "beside")
+    core = beside.select("pivot").distinct().join(of.select(F.col("doc_id").alias("pivot"), "shingle"), "pivot").withColumn("core", F.lit(True))
+    each = keep(beside.select("pivot", "doc_id", "label").join(of.select("doc_id", "shingle"), "doc_id").join(core, ["pivot", "shingle"], "left"), "parts")
+    outside = each.where("core is null")
+    counted = outside.groupBy("pivot", "shingle").agg(F.count("*").alias("f"), F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("pivot", "shingle", "f")
+    extras = outside.join(counted, ["pivot", "shingle"]).groupBy("pivot", "doc_id").agg(F.sort_array(F.collect_list(F.struct("f", "shingle")))["shingle"].alias("extras"))
+    inside = each.where("core").groupBy("pivot", "doc_id").agg(F.count("*").alias("inside"))
+    facts = beside.join(inside, ["pivot", "doc_id"], "left").join(extras, ["pivot", "doc_id"], "left")
+    own = F.ceil(F.col("n_shingles") * num / den)  # what a similar set shares with this one at least
+    facts = facts.select(
+        "pivot", "doc_id", "label", (F.col("label") == F.col("home")).alias("home"), F.col("n_shingles").alias("n"), F.coalesce("inside", F.lit(0)).alias("inside"),
+        F.coalesce("extras", F.array().cast("array<bigint>")).alias("extras"), own.alias("own"),
+    )
+    facts = keep(facts.where(F.col("inside") + F.size("extras") >= F.col("own")), "facts")
+    lacking = F.ceil((F.col("x_n") + F.col("y_n")) * num / (num + den)) - F.least("x_inside", "y_inside")
+    fits = F.least("x_n", "y_n") * den >= F.greatest("x_n", "y_n") * num
+
+    def side(df: DataFrame, mark: str, *keys: str) -> DataFrame:
+        return df.select(*(F.col(c).alias(c if c in keys else f"{mark}_{c}") for c in df.columns))
+
+    # Classes whose parts within the pivot could suffice; the members of such two are compared.
+    full = facts.where(F.col("inside") >= F.col("own")).select("pivot", "home", "n", "inside", "doc_id", "label")
+    kinds = full.select("pivot", "home", "n", "inside").distinct()
+    met = side(kinds.where("not home"), "x", "pivot").join(side(kinds, "y", "pivot"), "pivot").where((lacking <= 0) & fits)
+    some = met.join(side(full.where("not home"), "x", "pivot"), ["pivot", "x_home", "x_n", "x_inside"])
+    some = some.join(side(full, "y", "pivot"), ["pivot", "y_home", "y_n", "y_inside"]).where((F.col("x_label") != F.col("y_label")) & (F.col("y_home") | (F.col("x_doc_id") < F.col("y_doc_id"))))
+    # Others share as many shingles outside it as are lacking; each pair leaves at its first one, rare ones first.
+    need = F.greatest(F.col("own") - F.col("inside"), F.lit(1))
+    rare = facts.where(F.size("extras") >= need).withColumn("shingle", F.explode(F.slice("extras", F.lit(1), (F.size("extras") - need + 1).cast("int")))).drop("own")
+    both = F.array_intersect("x_extras", "y_extras")
+    enough = (lacking > 0) & (F.size(both) >= lacking) & (F.try_element_at(both, F.lit(1)) == F.col("shingle"))
+    once = F.col("y_home") | (F.col("x_doc_id") < F.col("y_doc_id"))
+    other = side(rare.where("not home"), "x", "pivot", "shingle").join(side(rare, "y", "pivot", "shingle"), ["pivot", "shingle"]).where((F.col("x_label") != F.col("y_label")) & fits & once & enough)
+    pairs = some.select("x_doc_id", "y_doc_id").union(other.select("x_doc_id", "y_doc_id"))
+    return pairs.select(F.least("x_doc_id", "y_doc_id").alias("a"), F.greatest("x_doc_id", "y_doc_id").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, k: int = SHINGLE, num: int = NUM, den: int = DEN, m: int = COORDINATES, least: int = LEAST) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs (doc_id, text; other columns are left alone).
 
@@ -120,8 +172,11 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, num: int = NUM, den: int
     signed_docs = keep(texts.mapInArrow(signatures(k, m), schema), "signatures")
     key = ["n_shingles", "set_hi", "set_lo"]
     # Equal sets are one class, and its smallest document stands for it.
-    classes = signed_docs.where("n_shingles > 0").groupBy(*key).agg(F.min("doc_id").alias("rep"))
-    members = keep(signed_docs.select("doc_id", *key).join(classes, key, "left"), "members")
+    # A class may hold a third of all rows, so it is dealt out in PARTS and only its parts meet.
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)).alias("part")
+    parts = signed_docs.where("n_shingles > 0").groupBy(*key, part).agg(F.min("doc_id").alias("least"))
+    classes = parts.select(*key, "part", F.min("least").over(Window.partitionBy(*key)).alias("rep"))
+    members = keep(signed_docs.select("doc_id", *key, part).join(classes, [*key, "part"], "left").drop("part"), "members")
     reps = members.where("doc_id = rep").select("rep").distinct()
     sigs = signed_docs.join(reps, F.col("doc_id") == F.col("rep"), "left_semi").dropDuplicates(["doc_id"])
 
@@ -165,15 +220,8 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, num: int = NUM, den: int
     of = keep(each.join(named.select("doc_id", "label").distinct(), "doc_id"), "shingles")
     seen = of.groupBy("shingle").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("shingle")
     shared = of.join(seen, "shingle").groupBy("doc_id").agg(F.count("*").alias("shared"))
-    shared = shared.join(lists.select("doc_id", "prefix"), "doc_id")
     named = keep(named.join(shared, "doc_id").where(F.col("shared") * den >= F.col("n_shingles") * num), "strays")
-    x = named.where("label <> main").select("posting", *(F.col(c).alias(f"x_{c}") for c in ("doc_id", "n_shingles", "label", "shared", "prefix")))
-    enough = F.least("shared", "x_shared") * (den + num) >= (F.col("n_shingles") + F.col("x_n_shingles")) * num
-    # A pair leaves the join at its first common posting (prefixes have one order): others would only repeat it.
-    first = F.try_element_at(F.array_intersect("x_prefix", "prefix"), F.lit(1)) == F.col("posting")
-    once = (F.col("label") == F.col("main")) | (F.col("x_doc_id") < F.col("doc_id"))
-    pairs = x.join(named, "posting").where((F.col("label") != F.col("x_label")) & fits("n_shingles", "x_n_shingles") & enough & once & first)
-    pairs = pairs.select(F.least("x_doc_id", "doc_id").alias("a"), F.greatest("x_doc_id", "doc_id").alias("b")).distinct()
+    pairs = stray_pairs(named, of, num, den)
     links = links.union(confirmed(pairs, "links"))
     labels = components(links).select(F.col("node").alias("rep"), "label")
     component = F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("label", "rep", "doc_id"))
