@@ -4,7 +4,8 @@ Each source has a target of words; target / size is the expected number of copie
 taken, and the fraction is left to a balanced sample: the flight phase moves the fractional inclusion probabilities of three
 documents at a time along the null space of the two constraints (number of documents, number of words) until one of them is
 0 or 1. It runs in blocks of a source; the one or two documents that a block leaves undecided meet in blocks of the next
-level, and the last one or two of a source are the landing problem, solved by trying every outcome.
+level, and the last one or two of a source are the landing problem, solved by trying every outcome. What that misses by is made
+up by a few exchanges within the last block, which keep the number of documents.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from folium.llm.shared import keep, n_words
 WEIGHTS, SHARE, CAP = (3, 1, 2), 1.5, 2
 #: Documents of a block; most sources that are broadcast.
 BLOCK, BROADCAST_SOURCES = 1024, 50_000
+#: Exchanges of documents that a source's last block may make.
+MOVES = 64
 _EPS = 1e-9
 
 
@@ -112,13 +115,32 @@ def landing(size: np.ndarray, p: np.ndarray) -> np.ndarray:
     return out
 
 
+def polished(size: np.ndarray, p: np.ndarray, want: float, moves: int = MOVES) -> np.ndarray:
+    """p after up to so many exchanges of a taken document for another, each the one that brings the taken words nearest to want."""
+    p = p.copy()
+    for _ in range(moves):
+        short = want - float(np.dot(p, size))
+        taken, left = np.flatnonzero(p == 1), np.flatnonzero(p == 0)
+        if abs(short) < 0.5 or not len(taken) or not len(left):
+            return p
+        left = left[np.argsort(size[left], kind="stable")]
+        at = np.searchsorted(size[left], size[taken] + short)
+        near = np.stack([np.clip(at - 1, 0, len(left) - 1), np.clip(at, 0, len(left) - 1)])
+        miss = np.abs(short - (size[left][near] - size[taken]))
+        side, i = np.unravel_index(int(miss.argmin()), miss.shape)
+        if miss[side, i] >= abs(short):
+            return p
+        p[taken[i]], p[left[near[side, i]]] = 0.0, 1.0
+    return p
+
+
 def fly(level: int, seed: int, last: bool):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["size", "turn", "doc_id"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
         rng = np.random.default_rng(zlib.crc32(f"{seed}|{level}|{pdf['source'].iloc[0]}|{pdf['block'].iloc[0]}".encode()))
         size = pdf["size"].to_numpy()
         p = flight(size, settle(size, pdf["p"].to_numpy(), rng.random(len(pdf))), rng.random(len(pdf) + 1))
-        return pdf.assign(p=landing(size, p) if last else p)
+        return pdf.assign(p=polished(size, landing(size, p), float(np.dot(pdf["p"], size))) if last else p)
 
     return run
 
