@@ -3,8 +3,11 @@
 Vectors become integers and are dealt in blocks by descending length. A block is rotated by the right singular vectors of the
 longest block, so that the first coordinates hold most of a product; a partial sum over them plus the Cauchy-Schwarz bound of
 the two residuals (each residual's length) is an upper bound of the whole product. The longest block gives each query its
-first k-th best score; in other blocks a query stops at the first vector whose length times its own is below that score, and
-only vectors whose bound reaches it are multiplied out, in exact integers.
+first k-th best score, and with it the length below which no vector can reach that. Queries are dealt in blocks by that
+length, and a block of vectors meets only the query blocks that its longest vector could serve. In a block a query
+stops at the first vector whose length times its own is below its score, and only vectors whose bound reaches it are
+multiplied out, in exact integers. Query blocks of a counted size are broadcast, so that vectors are not moved again; beyond, both
+are shuffled.
 """
 
 from __future__ import annotations
@@ -24,6 +27,8 @@ from folium.llm.shared import keep
 ROWS, QUERIES, HEAD = 4_096, 2_048, 16
 #: Longest vectors that are looked at first, by the driver.
 LONGEST = 1_024
+#: Bytes of all queries that are broadcast at most.
+BROADCAST_BYTES = 48_000_000
 _EXACT = float(2**53)
 
 
@@ -36,7 +41,7 @@ def whole(x: np.ndarray, scale: int) -> np.ndarray:
 
 
 def packed(dim: int, rows: int):
-    """mapInPandas function: vec_id, x -> blocks of at most `rows` vectors, numbered by partition and place."""
+    """mapInPandas function: vec_id, x, length (squared) -> blocks of at most `rows` vectors, numbered by partition and place."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         task, n = TaskContext.get().partitionId(), 0
@@ -46,7 +51,7 @@ def packed(dim: int, rows: int):
                 x = np.zeros((len(part), dim))
                 for i, v in enumerate(part["x"]):
                     x[i, : len(v)] = v
-                yield pd.DataFrame({"block": [task * 1_000_000 + n], "ids": [part["vec_id"].to_numpy(np.int64).tobytes()], "data": [x.tobytes()]})
+                yield pd.DataFrame({"block": [task * 1_000_000 + n], "longest": [float(np.sqrt(part["length"].max()))], "ids": [part["vec_id"].to_numpy(np.int64).tobytes()], "data": [x.tobytes()]})
                 n += 1
 
     return run
@@ -93,27 +98,63 @@ def unpacked(ids: bytes, data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return ids, np.frombuffer(data, np.float64).reshape(len(ids), -1)
 
 
-def searched(k: int, scale: int, basis: np.ndarray, longest: tuple[np.ndarray, np.ndarray]):
+def floors(k: int, scale: int, dim: int, longest: tuple[np.ndarray, np.ndarray]):
+    """mapInPandas function: vec_id, x -> these with floor (a score that k vectors reach) and need (length below which none can reach it)."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            q = np.zeros((len(pdf), dim))
+            for i, v in enumerate(pdf["x"]):
+                q[i, : len(v)] = v
+            q, ids = whole(q, scale), pdf["vec_id"].to_numpy(np.int64)
+            lowest = np.full(len(pdf), -np.inf)
+            if q.dtype != object and longest[1].dtype != object and len(pdf):
+                scores = (q @ longest[1].T).astype(float)
+                scores[ids[:, None] == longest[0][None, :]] = -np.inf
+                if scores.shape[1] >= k:
+                    lowest = np.partition(scores, -k, axis=1)[:, -k]
+            length = np.linalg.norm(q.astype(float), axis=1)
+            # One part in a million less, for rounding; a score of zero or less needs no length.
+            need = np.where((lowest > 0) & (length > 0), lowest / np.maximum(length, 1e-9) * (1 - 1e-6), 0.0)
+            yield pdf.assign(floor=lowest, need=need)
+
+    return run
+
+
+def packed_queries(dim: int, rows: int):
+    """mapInPandas function: vec_id, x, floor, need in order of need -> blocks with their least need."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        task, n = TaskContext.get().partitionId(), 0
+        for pdf in frames:
+            for a in range(0, len(pdf), rows):
+                part = pdf.iloc[a : a + rows]
+                x = np.zeros((len(part), dim))
+                for i, v in enumerate(part["x"]):
+                    x[i, : len(v)] = v
+                yield pd.DataFrame({"asked": [task * 1_000_000 + n], "least": [part["need"].min()], "q_ids": [part["vec_id"].to_numpy(np.int64).tobytes()], "q_data": [x.tobytes()], "q_floor": [part["floor"].to_numpy(float).tobytes()]})
+                n += 1
+
+    return run
+
+
+_SCORES = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+
+
+def searched(k: int, scale: int, basis: np.ndarray):
     """mapInArrow function: a block of queries, a block of vectors -> query_id, vec_id, score."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in (r for b in batches for r in b.to_pylist()):
+        for row in (r for b in batches for i in range(b.num_rows) for r in b.slice(i, 1).to_pylist()):
             qid, q = unpacked(row["q_ids"], row["q_data"])
             vid, v = unpacked(row["ids"], row["data"])
-            q, v = whole(q, scale), whole(v, scale)
-            lowest = np.full(len(qid), -np.inf)
-            if q.dtype != object and longest[1].dtype != object:
-                scores = (q @ longest[1].T).astype(float)
-                scores[qid[:, None] == longest[0][None, :]] = -np.inf
-                if scores.shape[1] >= k:
-                    lowest = np.partition(scores, -k, axis=1)[:, -k]
-            out = best(qid, q, vid, v, k, lowest, basis)
-            yield pa.RecordBatch.from_pydict({"query_id": [x[0] for x in out], "vec_id": [x[1] for x in out], "score": [x[2] for x in out]}, pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())]))
+            out = best(qid, whole(q, scale), vid, whole(v, scale), k, np.frombuffer(row["q_floor"]), basis)
+            yield pa.RecordBatch.from_pydict({"query_id": [x[0] for x in out], "vec_id": [x[1] for x in out], "score": [x[2] for x in out]}, _SCORES)
 
     return run
 
 
-def top_k(vectors: DataFrame, k: int = 10, modulus: int = 100, scale: int = 1024, rows: int = ROWS, queries: int = QUERIES) -> DataFrame:
+def top_k(vectors: DataFrame, k: int = 10, modulus: int = 100, scale: int = 1024, rows: int = ROWS, queries: int = QUERIES, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """query_id, rank (from 1), vec_id, score for the k best others of each row whose vec_id is divisible by modulus.
 
     vectors: vec_id, embedding. Components become floor(scale * x). Rows with a null id or vector, or a null or non-finite
@@ -133,13 +174,17 @@ def top_k(vectors: DataFrame, k: int = 10, modulus: int = 100, scale: int = 1024
         data[i, : len(r.x)] = r.x
     longest = (np.array([r.vec_id for r in top], np.int64), whole(data, scale))
     basis = np.linalg.svd(np.floor(data * scale), full_matrices=len(top) < dim)[2].T if len(top) and dim else np.zeros((dim, dim))
-    schema = "block long, ids binary, data binary"
-    blocks = base.repartitionByRange(max(1, -(-n // rows)), F.desc("length"), "vec_id").select("vec_id", "x").mapInPandas(packed(dim, rows), schema)
-    blocks = keep(blocks, "blocks")
-    asked = base.where(F.col("vec_id") % modulus == 0).groupBy("vec_id").agg(F.min("x").alias("x"))
-    asked = keep(asked.repartitionByRange(max(1, -(-n // (modulus * queries))), "vec_id").mapInPandas(packed(dim, queries), schema), "queries")
-    asked = asked.select(F.col("ids").alias("q_ids"), F.col("data").alias("q_data"))
-    pairs = blocks.select("block").crossJoin(asked).join(blocks, "block")
-    found = pairs.repartition("block", "q_ids").select("q_ids", "q_data", "ids", "data").mapInArrow(searched(k, scale, basis, longest), "query_id long, vec_id long, score long")
+    ranged = base.repartitionByRange(max(1, -(-n // rows)), F.desc("length"), "vec_id").select("vec_id", "x", "length")
+    blocks = keep(ranged.mapInPandas(packed(dim, rows), "block long, longest double, ids binary, data binary"), "blocks")
+    asked = base.where(F.col("vec_id") % modulus == 0).groupBy("vec_id").agg(F.min("x").alias("x")).mapInPandas(floors(k, scale, dim, longest), "vec_id long, x array<double>, floor double, need double")
+    asked = asked.repartitionByRange(max(1, -(-n // (modulus * queries))), "need", "vec_id").sortWithinPartitions("need", "vec_id")
+    asked = keep(asked.mapInPandas(packed_queries(dim, queries), "asked long, least double, q_ids binary, q_data binary, q_floor binary"), "queries")
+    could = F.col("longest") >= F.col("least")
+    if asked.agg(F.coalesce(F.sum(F.length("q_data")), F.lit(0))).first()[0] <= broadcast_bytes:
+        pairs = blocks.join(F.broadcast(asked), could)
+    else:  # first which blocks meet, then what they hold
+        met = blocks.select("block", "longest").join(F.broadcast(asked.select("asked", "least")), could).select("block", "asked")
+        pairs = met.join(asked, "asked").join(blocks, "block")
+    found = pairs.select("q_ids", "q_data", "q_floor", "ids", "data").mapInArrow(searched(k, scale, basis), "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
