@@ -1,6 +1,6 @@
 """License scans by a positional rare-token index (operator 5).
 
-The templates are short characteristic texts of licences. A file looks up one word of every template: of those in its
+The templates are characteristic passages of licences, several of each, and the short notices by which files name them. A file looks up one word of every template: of those in its
 mandatory key phrases the rarest by document frequency over all files, posted with its places in them. Wherever that word
 stands the template is laid, at every start that would put it in its place: its words are compared by position, and it counts
 if enough of them stand, with its key phrases whole. So every start that can count is tried.
@@ -34,6 +34,34 @@ TEMPLATES = (
     ("cc-by-sa", "this work is licensed under a creative commons attribution sharealike 4 0 international license", "creative commons attribution sharealike"),
     ("unlicense", "this is free and unencumbered software released into the public domain", "free and unencumbered software"),
     ("proprietary", "all rights reserved no part of this work may be reproduced or transmitted in any form without prior written permission", "all rights reserved"),
+    ("mit", "to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software", "to deal in the software without restriction"),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", "this permission notice shall be included"),
+    ("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer", "redistributions of source code must retain"),
+    ("bsd", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", "may be used to endorse or promote products derived"),
+    ("apache-2", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind", "distributed on an as is basis"),
+    ("gpl", "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose", "distributed in the hope that it will be useful"),
+    ("warranty-disclaimer", "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability", "provided as is without warranty of any kind"),
+    # Notices: the phrase alone names the licence, so all of it must stand.
+    ("mit", "the mit license", "the mit license"),
+    ("mit", "spdx license identifier mit", "spdx license identifier mit"),
+    ("apache-2", "spdx license identifier apache 2 0", "spdx license identifier apache 2 0"),
+    ("bsd", "bsd 2 clause license", "bsd 2 clause license"),
+    ("bsd", "bsd 3 clause license", "bsd 3 clause license"),
+    ("bsd", "the bsd license", "the bsd license"),
+    ("isc", "the isc license", "the isc license"),
+    ("gpl", "gnu general public license", "gnu general public license"),
+    ("lgpl", "gnu lesser general public license", "gnu lesser general public license"),
+    ("lgpl", "gnu library general public license", "gnu library general public license"),
+    ("agpl", "gnu affero general public license", "gnu affero general public license"),
+    ("mpl-2", "mozilla public license", "mozilla public license"),
+    ("epl", "eclipse public license", "eclipse public license"),
+    ("bsl", "boost software license version 1 0", "boost software license version 1 0"),
+    ("cc-by", "licensed under cc by 4 0", "licensed under cc by 4 0"),
+    ("cc-by-sa", "cc by sa", "cc by sa"),
+    ("cc-by-nd", "cc by nd", "cc by nd"),
+    ("cc0", "cc0 1 0 universal", "cc0 1 0 universal"),
+    ("public-domain", "released into the public domain", "released into the public domain"),
+    ("proprietary", "all rights reserved", "all rights reserved"),
 )
 #: Fraction of a template's words that must stand; words by which it may be shifted; starts compared at once.
 COVER, SLACK, STARTS = 0.75, 1, 4096
@@ -129,11 +157,14 @@ def scanned(own: Index, df: np.ndarray):
             begin = np.unique(np.concatenate([found - shift for shift in range(-SLACK, SLACK + 1)]))
             for i in range(0, len(begin), STARTS):
                 good = np.zeros((len(begin[i : i + STARTS]), size), bool)
+                phrases = np.zeros((len(keys), len(good)), bool)
                 for shift in range(-SLACK, SLACK + 1):
                     place = begin[i : i + STARTS, None] + shift + np.arange(size)
                     inside = (place >= 0) & (place < len(which))
-                    good |= inside & (which[np.where(inside, place, 0)] == template)
-                kept = (good.mean(axis=1) >= COVER) & np.logical_and.reduce([good[:, a:b].all(axis=1) for a, b in keys])
+                    here = inside & (which[np.where(inside, place, 0)] == template)
+                    good |= here
+                    phrases |= [here[:, a:b].all(axis=1) for a, b in keys]  # a key phrase stands in one piece
+                kept = (good.mean(axis=1) >= COVER) & phrases.all(axis=0)
                 if kept.any():
                     scores[label] = max(scores.get(label, 0.0), float(good.mean(axis=1)[kept].max()))
         return sorted((s, own.templates[t][0]) for s, t in exact), scores
@@ -160,7 +191,8 @@ def scanned(own: Index, df: np.ndarray):
 def licenses(docs: DataFrame, own: Index | None = None) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score for each row of docs (doc_id, text).
 
-    Null and empty texts have no words and no labels. n_base counts places of base phrases, each label by itself. score:
+    Null and empty texts have no words and no labels; texts are taken whole, a very long one as a slice of its own. Other
+    columns are left alone, and no rows give no rows. n_base counts places of base phrases, each label by itself. score:
     1 with a base phrase, else the largest covered fraction of a template found, else 0. Repeated rows are scanned each.
     """
     own = own or index()
