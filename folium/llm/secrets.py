@@ -17,9 +17,13 @@ ASSIGN = r"""(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][e
 #: Shorter matches of these two would fail and hide nothing: their matches are whole runs.
 ACCESS, HEX = r"AKIA[A-Z0-9]{14,}", r"[0-9a-f]{16,}"
 #: A run that the models judge: its characters, and log-likelihood ratio in nats a step from which it is a secret.
-CANDIDATE, THRESHOLD = r"[A-Za-z0-9+/_=-]{20,}", 0.6
+CANDIDATE, THRESHOLD = r"[A-Za-z0-9+/_=-]{16,}", 0.6
+#: Nats that a run or stretch needs in all: what tells little by character must be longer.
+LEAST_NATS = 12.0
 #: Least characters of a stretch, and nats below its best end at which a stretch is closed.
-STRETCH, DROP = 20, 6.0
+STRETCH, DROP = 16, 6.0
+#: Matches whose offsets are added up in one list.
+BLOCK = 256
 #: Other characters share the last place.
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 SIZE = len(ALPHABET) + 1
@@ -36,23 +40,39 @@ IDENTIFIERS = (
 
 def spans(text: Column, kind: str, pattern: str, group: int = 0, least: int = 0) -> Column:
     """Leftmost non-overlapping matches as an array of (start, stop, kind, value), in code points; those with a shorter value go."""
-    between = F.split(text, pattern, -1)
-    whole, value = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
     empty = F.array().cast("array<struct<start: int, stop: int, kind: int, value: string>>")
-    # Stops of matches: what stands between and the matches themselves, added up.
-    start = F.struct(F.lit(0).alias("at"), empty.alias("found"))
+    let = lambda x, body: F.get(F.transform(F.array(x), body), F.lit(0))
 
     def step(s: Column, m: Column) -> Column:
-        a = s["at"] + F.length(m["between"])
-        b = a + F.length(m["whole"])
+        a = s["at"] + m["gap"]
+        b = a + m["size"]
         return F.struct(b.alias("at"), F.concat(s["found"], F.array(F.struct(a.alias("start"), b.alias("stop"), F.lit(KINDS.index(kind)).alias("kind"), m["value"].alias("value")))).alias("found"))
 
-    pieces = F.transform(whole, lambda w, i: F.struct(F.get(between, i).alias("between"), w.alias("whole"), F.get(value, i).alias("value")))
-    found = F.aggregate(pieces, start, step, lambda s: s["found"])
+    def placed(m: Column) -> Column:
+        # Sums of BLOCK matches, then of blocks: a list is copied at each step, so one over all matches would cost their square.
+        pieces = F.transform(m["whole"], lambda w, i: F.struct(F.length(F.get(m["between"], i)).alias("gap"), F.length(w).alias("size"), F.get(m["value"], i).alias("value")))
+        start = F.struct(F.lit(0).alias("at"), empty.alias("found"))
+        blocks = let(pieces, lambda x: F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / BLOCK).cast("int")), lambda k: F.aggregate(F.slice(x, k * BLOCK + 1, F.lit(BLOCK)), start, step)))
+        begins = lambda x: F.aggregate(x, F.array(F.lit(0)), lambda s, y: F.concat(s, F.array(F.element_at(s, -1) + y["at"])))
+        moved = lambda y, by: F.transform(y["found"], lambda f: F.struct((f["start"] + by).alias("start"), (f["stop"] + by).alias("stop"), f["kind"].alias("kind"), f["value"].alias("value")))
+        return let(blocks, lambda x: let(begins(x), lambda at: F.flatten(F.transform(x, lambda y, i: moved(y, F.get(at, i))))))
+
+    every = lambda g: F.regexp_extract_all(text, F.lit(pattern), F.lit(g))
+    found = let(F.struct(F.split(text, pattern, -1).alias("between"), every(0).alias("whole"), every(group).alias("value")), placed)
     # Few texts have any; the others are not split.
     return F.when(F.rlike(text, F.lit(pattern)), F.filter(found, lambda x: F.length(x["value"]) >= least)).otherwise(empty)
 
 
+def masked(text: Column, pattern: str, group: int = 0, least: int = 0) -> Column:
+    """The text with as many spaces for each match that spans() gives."""
+    between = F.split(text, pattern, -1)
+    whole, value = (F.regexp_extract_all(text, F.lit(pattern), F.lit(g)) for g in (0, group))
+    let = lambda x, body: F.get(F.transform(F.array(x), body), F.lit(0))
+    put = lambda m, i: F.when(F.length(F.get(m["value"], i)) >= least, F.repeat(F.lit(" "), F.length(F.get(m["whole"], i)))).otherwise(F.get(m["whole"], i))
+    pieces = let(F.struct(between.alias("between"), whole.alias("whole"), value.alias("value")), lambda m: F.transform(m["between"], lambda b, i: F.concat(b, F.coalesce(put(m, i), F.lit("")))))
+    return F.when(F.rlike(text, F.lit(pattern)), F.array_join(pieces, "")).otherwise(text)
+
+
 def samples(spark: SparkSession, n: int = 4000) -> DataFrame:
     """Labelled strings (value, random): digests in three alphabets, and identifiers of two to four words in three styles."""
     words = F.split(F.lit(IDENTIFIERS), " ")
@@ -99,10 +119,15 @@ def train(labelled: DataFrame) -> list[float]:
     return out
 
 
-def score(value: Column, model: list[float]) -> Column:
-    """Nats a step by which a value looks random rather than an identifier."""
+def nats(value: Column, model: list[float]) -> Column:
+    """Log-likelihood ratio by which a value looks random rather than an identifier."""
     table = F.lit(model)
-    return F.aggregate(steps(value), F.lit(0.0), lambda s, p: s + F.get(table, p)) / F.greatest(F.length(value) - 1, F.lit(1))
+    return F.aggregate(steps(value), F.lit(0.0), lambda s, p: s + F.get(table, p))
+
+
+def score(value: Column, model: list[float]) -> Column:
+    """Nats a step."""
+    return nats(value, model) / F.greatest(F.length(value) - 1, F.lit(1))
 
 
 def stretches(value: Column, model: list[float], threshold: float) -> Column:
@@ -143,18 +168,20 @@ def stretches(value: Column, model: list[float], threshold: float) -> Column:
 def secrets(docs: DataFrame, labelled: DataFrame | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, found: an array of (start, stop, kind, value) by start, then kind, for each row of docs (doc_id, text).
 
-    Offsets are code points, stop exclusive. A null text is empty. Runs and stretches that the models find are left out where a
-    rule's span lies in or over them. Repeated rows are scanned each.
+    Offsets are code points, stop exclusive. A null text is empty. The models judge what the rules' spans leave. Repeated rows are scanned each, whole texts of any length; other columns are left alone,
+    and no rows give no rows.
     """
     model = train(samples(docs.sparkSession) if labelled is None else labelled)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rules = F.concat(spans(F.col("text"), "assign", ASSIGN, 1, 12), spans(F.col("text"), "access", ACCESS), spans(F.col("text"), "hex", HEX))
-    runs = spans(F.col("text"), "random", CANDIDATE)
-    both = texts.select("doc_id", rules.alias("rules"), runs.alias("runs"))
-    free = lambda r: ~F.exists("rules", lambda x: (x["start"] < r["stop"]) & (x["stop"] > r["start"]))
+    # What the rules' spans leave of the text is judged by the models.
+    rest = texts.select("doc_id", "text", rules.alias("rules"), masked(F.col("text"), ASSIGN, 1, 12).alias("rest"))
+    rest = rest.withColumn("rest", masked(F.col("rest"), ACCESS)).withColumn("rest", masked(F.col("rest"), HEX))
+    both = rest.select("doc_id", "rules", spans(F.col("rest"), "random", CANDIDATE).alias("runs"))
     part = lambda r: F.transform(stretches(r["value"], model, threshold), lambda t: F.struct(
         (r["start"] + t["start"]).alias("start"), (r["start"] + t["stop"]).alias("stop"), r["kind"].alias("kind"), F.substring(r["value"], t["start"] + 1, t["stop"] - t["start"]).alias("value")))
-    clear = F.filter(F.flatten(F.transform("runs", lambda r: F.when((score(r["value"], model) >= threshold) & free(r), F.array(r)).otherwise(part(r)))), free)
+    judged = F.transform("runs", lambda r: F.when(score(r["value"], model) >= threshold, F.array(r)).otherwise(part(r)))
+    clear = F.filter(F.flatten(judged), lambda r: nats(r["value"], model) >= LEAST_NATS)
     order = lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(a["kind"] - b["kind"])
     return both.select("doc_id", F.array_sort("rules", order).alias("rules"), clear.alias("extra")).select("doc_id", "rules", F.array_sort(F.concat("rules", "extra"), order).alias("found"))
 
