@@ -12,6 +12,7 @@ a task that is run again leaves one copy.
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Iterator
@@ -30,6 +31,8 @@ from folium.llm.words import LOWER, NOT_SPACE, Words, byte_set, slices
 #: Bits of a chunk; bits of a bitmap between two entries of its rank directory; most ids of a shard; words kept encoded by a worker.
 BITS, RANK, SHARD_IDS, CACHE = 8, 512, 2_000_000, 300_000
 END = 1
+#: Starts of shards that are broadcast at most; beyond, they are shuffled.
+BROADCAST_SHARDS = 500_000
 #: Words encoded as one text; texts encoded at once.
 LINE, MANY = 512, 4096
 #: Marks that make a piece of their own after a letter: ASCII punctuation, but for the apostrophe (contractions) and <, >, | (special tokens); most of them cut.
@@ -143,14 +146,37 @@ def encode(tokenizer, texts: list[str], last: np.ndarray | None = None) -> tuple
     return ids, sizes if last is None else np.diff(np.flatnonzero(last[ids]), prepend=-1)
 
 
+def by_words(tokenizer) -> bool:
+    """Whether the tokenizer lower-cases, takes any white space alike, drops it and parts letters from marks, as Encoder counts on."""
+    settings = json.loads(tokenizer.to_str())
+
+    def steps(x: dict | None, inner: str) -> list[dict]:
+        return [] if x is None else x[inner] if x["type"] == "Sequence" else [x]
+
+    folds = steps(settings["normalizer"], "normalizers")
+    parts = steps(settings["pre_tokenizer"], "pretokenizers")
+    first = parts[0] if parts else {}
+    return (
+        {x["type"] for x in folds} <= {"NFC", "Replace", "Lowercase"}
+        and any(x["type"] == "Lowercase" for x in folds)
+        and all(x["pattern"].get("Regex") == r"\s+" and x["content"] == " " for x in folds if x["type"] == "Replace")
+        and first.get("type") == "Split"
+        and first["behavior"] == "Removed"
+        and first["invert"]
+        and first["pattern"].get("Regex") == r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+        and all(x["type"] == "ByteLevel" and not x["add_prefix_space"] and not x["use_regex"] for x in parts[1:])
+    )
+
+
 _known: dict[str, tuple] = {}
 
 
 class Encoder:
-    """Ids of texts by a tokenizer whose words do not reach across white space, with the ids of frequent words kept.
+    """Ids of texts by a tokenizer, with the ids of frequent words kept if its words do not reach across white space.
 
-    ASCII words are looked up in lower case, as the tokenizer lower-cases; up to MARKS punctuation marks that end a word
-    after a letter are cut off it, as the tokenizer does. Any other word goes to the tokenizer as it is.
+    That is read from the tokenizer's settings (by_words); any other tokenizer gets whole texts. ASCII words are looked up in
+    lower case, as the tokenizer lower-cases; up to MARKS punctuation marks that end a word after a letter are cut off it, as
+    the tokenizer does. Any other word goes to the tokenizer as it is.
     """
 
     def __init__(self, path: str):
@@ -164,11 +190,14 @@ class Encoder:
                 vocab = tokenizer.get_vocab()
                 last = np.zeros(max(vocab.values()) + 1, bool)
                 last[[i for token, i in vocab.items() if token.endswith(suffix)]] = True
-            _known[path] = (tokenizer, Known(), last)
-        self.tokenizer, self.known, self.last = _known[path]
+            _known[path] = (tokenizer, Known(), last, by_words(tokenizer))
+        self.tokenizer, self.known, self.last, self.by_words = _known[path]
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts with END after each, number of each text's ids)."""
+        if not self.by_words:
+            ids, sizes = encode(self.tokenizer, pc.fill_null(texts, "").to_pylist())
+            return np.insert(ids, np.cumsum(sizes), np.uint32(END)), sizes + 1
         words = Words(texts, NOT_SPACE)
         buf = words.buf
         ends = words.ends.copy()
@@ -254,11 +283,12 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, bits: int = BITS, m
     ordered.mapInArrow(shards(tokenizer, bits, most), "shard long, n_docs long, n_ids long, data binary").write.option("compression", "none").parquet(path)
 
 
-def read_tokens(spark: SparkSession, path: str) -> DataFrame:
+def read_tokens(spark: SparkSession, path: str, broadcast_shards: int = BROADCAST_SHARDS) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of each document, decoded from the files."""
     files = spark.read.schema("shard long, n_docs long, n_ids long, data binary").parquet(path)
     before = F.coalesce(F.sum("n_ids").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = keep(files.select("shard", "n_ids").select(F.col("shard").alias("own"), before.alias("before")), "starts")
+    starts = F.broadcast(starts) if starts.count() <= broadcast_shards else starts
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in (r for b in batches for i in range(b.num_rows) for r in b.slice(i, 1).to_pylist()):
@@ -267,7 +297,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
             crc = [zlib.crc32(ids[a:b].tobytes()) for a, b in zip(at[:-1], at[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(codes.doc_id), pa.array(at[:-1] + row["before"]), pa.array(np.diff(at)), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    rows = files.join(F.broadcast(starts), F.col("shard") == F.col("own")).select("before", "data")
+    rows = files.join(starts, F.col("shard") == F.col("own")).select("before", "data")
     return rows.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
