@@ -25,9 +25,11 @@ def ready(spark: SparkSession) -> SparkSession:
 
 
 def folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where that is unset (one machine, as in tests) a temporary folder."""
+    """spark.checkpoint.dir; where that is unset, on one machine (as in tests), a temporary folder."""
     at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         if not _own:
             _own.append(tempfile.mkdtemp(prefix="folium-"))
         at = f"file://{_own[0]}"
