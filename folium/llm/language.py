@@ -29,7 +29,9 @@ PER_LANGUAGE, IN_ALL, ROUNDS = 800, 8_000, 2
 #: Chance of a character that no piece has; counts added to each piece.
 UNKNOWN, ADDED = 1e-7, 0.05
 #: Characters of a batch of words, padding included; a word longer than LONG is worked on by itself, in steps of LONG characters.
-BATCH, LONG = 200_000, 2_000
+BATCH, LONG = 60_000, 2_000
+#: Bits of a hash that are tested first.
+LOW_BITS = 20
 #: Words whose likelihoods a worker keeps.
 CACHE = 300_000
 #: What SentencePiece writes for a word's start.
@@ -70,12 +72,13 @@ def points(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Pieces:
-    """Pieces by hash; place maps a sorted hash to its piece; longest: characters of the longest."""
+    """Pieces by hash; place maps a sorted hash to its piece; longest: characters of the longest; low: whether a piece's hash ends in these bits."""
 
     hashes: np.ndarray
     place: np.ndarray
     n: int
     longest: int
+    low: np.ndarray
 
     @staticmethod
     def of(pieces: list[str]) -> Pieces:
@@ -86,11 +89,17 @@ class Pieces:
                 x = (x * 0x9E3779B97F4A7C15 + ord(c) + 1) & 0xFFFFFFFFFFFFFFFF
             h[i] = x
         order = np.argsort(h)
-        return Pieces(h[order], order, len(pieces), max(map(len, pieces), default=1))
+        low = np.zeros(1 << LOW_BITS, bool)
+        low[h & np.uint64((1 << LOW_BITS) - 1)] = True
+        return Pieces(h[order], order, len(pieces), max(map(len, pieces), default=1), low)
 
     def find(self, h: np.ndarray) -> np.ndarray:
-        i = np.minimum(np.searchsorted(self.hashes, h), self.n - 1)
-        return np.where(self.hashes[i] == h, self.place[i], self.n)
+        """Piece of each hash, or n; few hashes pass the first test."""
+        out = np.full(len(h), self.n)
+        some = np.flatnonzero(self.low[h & np.uint64((1 << LOW_BITS) - 1)])
+        i = np.minimum(np.searchsorted(self.hashes, h[some]), self.n - 1)
+        out[some] = np.where(self.hashes[i] == h[some], self.place[i], self.n)
+        return out
 
     def at(self, words: np.ndarray, size: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
         """(end, length, piece of each word or n) for all pieces of the words, by end."""
@@ -140,7 +149,9 @@ def forward(words: list[str], pieces: Pieces, chance: np.ndarray) -> np.ndarray:
             if length == 1:
                 now = alpha[-1] * np.where((piece == pieces.n) & (size >= end), UNKNOWN, 0.0)[:, None]
                 recent = alpha[-pieces.longest :]
-            now = now + recent[-length] * chance[piece]
+            hit = np.flatnonzero(piece < pieces.n)
+            if len(hit):
+                now[hit] += recent[-length][hit] * chance[piece[hit]]
             if length == min(pieces.longest, end):
                 live = size >= end
                 by = np.where(live[:, None], now, 1.0)
@@ -261,7 +272,26 @@ def fit(rows: DataFrame, languages: list[str], path: str, rounds: int = ROUNDS)
     return Model(languages, pieces, chance)
 
 
-_known: dict[str, np.ndarray] = {}
+class Known:
+    """Likelihoods of words that a worker has met, for one model."""
+
+    def __init__(self, key: str, languages: int):
+        self.key, self.at, self.rows = key, {}, np.zeros((1024, languages))
+
+    def of(self, words: list[str], model: Model) -> np.ndarray:
+        new = [w for w in words if w not in self.at]
+        if len(self.at) + len(new) > CACHE:
+            self.at, new = {}, words
+        if new:
+            a, b = len(self.at), len(self.at) + len(new)
+            if b > len(self.rows):
+                self.rows = np.concatenate([self.rows[:a], np.zeros((2 * b - a, self.rows.shape[1]))])
+            self.rows[a:b] = forward(new, model.pieces, model.chance)
+            self.at.update(zip(new, range(a, b), strict=True))
+        return self.rows[np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))]
+
+
+_met: list[Known] = []
 _LETTER = regex.compile(r"\p{L}")
 
 
@@ -270,21 +300,12 @@ def predicted(shared, prior: bool = False):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, key = shared.value
-        if _known.get("") != key:
-            _known.clear()
-            _known[""] = key
+        if not _met or _met[0].key != key:
+            _met[:] = [Known(key, len(model.languages))]
         for batch in slices(batches):
             words = Words(batch.column("text"), NOT_SPACE, LOWER)
             coded = pc.dictionary_encode(words.column(words.ends, words.buf))
-            distinct = coded.dictionary.to_pylist()
-            new = [w for w in distinct if w not in _known]
-            if len(_known) + len(new) > CACHE:
-                _known.clear()
-                _known[""] = key
-                new = distinct
-            if new:
-                _known.update(zip(new, forward(new, model.pieces, model.chance), strict=True))
-            table = np.array([_known[w] for w in distinct]).reshape(len(distinct), len(model.languages))
+            table = _met[0].of(coded.dictionary.to_pylist(), model)
             n = len(words.n)
             doc = np.repeat(np.arange(n), words.n)
             each = table[coded.indices.to_numpy()] if len(doc) else np.zeros((0, len(model.languages)))
