@@ -144,7 +144,7 @@ def test_quality_by_brute_force(spark):
             if g == lang and i not in held:
                 w = ["<s>", *t.split()]
                 c.update(zip(w, w[1:]))
-        after, total, over = Counter(w for _, w in c), Counter(), {}
+        after, total = Counter(w for _, w in c), Counter()
 
         def taken(counts):
             n = [sum(v == k for v in counts.values()) or None for k in (1, 2, 3, 4)]
@@ -159,8 +159,8 @@ def test_quality_by_brute_force(spark):
         low = lambda w, after=after, d1=d1, all_=all_, unseen=unseen: (max(after[w] - d1(after[w]), 0) / all_ if w in after else 0) + unseen
         for (v, _), n in c.items():
             total[v] += n
-            over[v] = over.get(v, 0) + d2(n)
-        models[lang] = lambda v, w, c=c, total=total, over=over, low=low, d2=d2: (max(c[v, w] - d2(c[v, w]), 0) / total[v] + over[v] / total[v] * low(w)) if (v, w) in c else (over[v] / total[v] if v in total else 1.0) * low(w)
+        over = {v: sum(n if n < quality.LEAST else d2(n) for (x, _), n in c.items() if x == v) for v in total}
+        models[lang] = lambda v, w, c=c, total=total, over=over, low=low, d2=d2: (max(c[v, w] - d2(c[v, w]), 0) / total[v] + over[v] / total[v] * low(w)) if c[v, w] >= quality.LEAST else (over[v] / total[v] if v in total else 1.0) * low(w)
     nats = lambda t, m: -sum(np.log(m(v, w)) for v, w in zip(["<s>", *(t or "").split()], (t or "").split()))
     mean = {g: sum(nats(t, models[g]) for i, t, x in made[:60] if x == g and i in held) / sum(len(t.split()) for i, t, x in made[:60] if x == g and i in held) for g in models}
     for i, t, g in made[:120]:
