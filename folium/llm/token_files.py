@@ -29,10 +29,12 @@ from folium.llm.shared import keep, place
 from folium.llm.words import LOWER, NOT_SPACE, Words, byte_set, slices
 
 #: Bits of a chunk; bits of a bitmap between two entries of its rank directory; most ids of a shard; words kept encoded by a worker.
-BITS, RANK, SHARD_IDS, CACHE = 8, 512, 2_000_000, 300_000
+BITS, RANK, SHARD_IDS, CACHE = 8, 512, 2_000_000, 500_000
 END = 1
 #: Starts of shards that are broadcast at most; beyond, they are shuffled.
 BROADCAST_SHARDS = 500_000
+#: Bytes of text looked up at once: of a larger slice more words are met again.
+SLICE = 2_500_000
 #: Words encoded as one text; texts encoded at once.
 LINE, MANY = 512, 4096
 #: Marks that make a piece of their own after a letter: ASCII punctuation, but for the apostrophe (contractions) and <, >, | (special tokens); most of them cut.
@@ -260,7 +262,7 @@ def shards(path: str, bits: int, most: int):
             row = {"shard": [(task << 32) + n], "n_docs": [len(doc)], "n_ids": [len(ids)], "data": [encoded(doc, sizes, ids, bits)]}
             return pa.RecordBatch.from_pydict(row, pa.schema([("shard", pa.int64()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("data", pa.binary())]))
 
-        for batch in slices(batches):
+        for batch in slices(batches, size=SLICE):
             ids, sizes = encoder(batch.column("text"))
             held.append((batch.column("doc_id").to_numpy(zero_copy_only=False), sizes, ids))
             if sum(len(x[2]) for x in held) >= most:

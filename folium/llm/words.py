@@ -148,14 +148,14 @@ def spans(h: np.ndarray, lo: np.ndarray, hi: np.ndarray, seed: int = 0) -> np.nd
         return mix((sums[hi] - sums[lo]) * powers(inv, len(h) + 1)[lo] + (hi - lo).astype(U) * base)
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
-    """The batches, cut so that each holds about SLICE_BYTES of text."""
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches, cut so that each holds about `size` bytes of text."""
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
         total, cut = np.cumsum(sizes), 0
         while cut < batch.num_rows:
             done = total[cut - 1] if cut else 0
-            end = max(cut + 1, int(np.searchsorted(total, done + SLICE_BYTES, side="right")))
+            end = max(cut + 1, int(np.searchsorted(total, done + size, side="right")))
             yield batch.slice(cut, end - cut)
             cut = end
 
