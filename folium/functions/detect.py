@@ -77,28 +77,51 @@ def outside_quotes(line: Column, delimiter: str) -> Column:
     return F.aggregate(pieces, F.lit(0), lambda n, x: n + F.length(x) - F.length(F.replace(x, F.lit(delimiter), F.lit(""))))
 
 
-def _counts(lines: Column, delimiter: str) -> Column:
-    return F.transform(lines, lambda x: outside_quotes(x, delimiter))
+def _once(value: Column, body) -> Column:
+    """body(value), with value computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _all_counts(line: Column) -> Column:
+    """Numbers of all delimiters outside double quotes, counted together; only a line with quotes is taken apart."""
+    outside = F.when(line.contains('"'), F.array_join(F.filter(F.split(line, '"', -1), lambda x, i: i % 2 == 0), "")).otherwise(line)
+    return _once(outside, lambda x: F.array(*(F.length(x) - F.length(F.replace(x, F.lit(d), F.lit(""))) for d in DELIMITERS)))
 
 
 def is_csv(text: Column) -> Column:
     """Some delimiter stands equally often, at least once, on each of the first lines that are not blank."""
     lines = F.slice(F.filter(F.split(text, "\r\n|\r|\n", -1), lambda x: F.rlike(x, F.lit(f"[^{SPACE}]"))), 1, LINES)
-    out = F.lit(False)
-    for d in DELIMITERS:
-        counts = _counts(lines, d)
-        out = out | ((F.coalesce(F.get(counts, F.lit(0)), F.lit(0)) >= 1) & (F.array_min(counts) == F.array_max(counts)))
-    return F.coalesce(out, F.lit(False))
+
+    def steady(counts: Column) -> Column:
+        first = F.get(counts, F.lit(0))
+
+        def of(i: int) -> Column:
+            return (F.get(first, F.lit(i)) >= 1) & F.forall(counts, lambda c: F.get(c, F.lit(i)) == F.get(first, F.lit(i)))
+
+        out = of(0)
+        for i in range(1, len(DELIMITERS)):
+            out = out | of(i)
+        return out
+
+    # A text without any delimiter is not taken apart.
+    return F.rlike(text, F.lit("[,;\t|]")) & F.coalesce(_once(F.transform(lines, _all_counts), steady), F.lit(False))
 
 
 def text_format(text: Column) -> Column:
-    """html, md, csv or txt by the first 64 K characters."""
-    sample = strip_bom(F.substring(text, 1, SAMPLE))
-    trimmed = F.regexp_replace(sample, f"^[{SPACE}]+", "")
-    lower = F.lower(F.substring(trimmed, 1, 64))
-    html = lower.startswith("<!doctype html") | lower.startswith("<html") | lower.startswith("<?xml")
-    html = html | F.rlike(trimmed, F.lit(rf"(?i)^<({HTML_TAGS})[{SPACE}>/]"))
-    return F.when(html, "html").when(is_markdown(sample), "md").when(is_csv(sample), "csv").otherwise("txt")
+    """html, md, csv or txt by the first 64 K bytes; a character that is cut there reads as unknown."""
+    cut = F.make_valid_utf8(F.substring(F.encode(text, "UTF-8"), 1, SAMPLE).cast("string"))
+    # Few texts are that long: the others are not encoded.
+    sample = strip_bom(F.when(F.octet_length(text) > SAMPLE, cut).otherwise(text))
+
+    def kind(sample: Column) -> Column:
+        trimmed = F.regexp_replace(F.substring(sample, 1, 4096), f"^[{SPACE}]+", "")
+        trimmed = F.when(F.length(trimmed) > 64, trimmed).otherwise(F.regexp_replace(sample, f"^[{SPACE}]+", ""))
+        lower = F.lower(F.substring(trimmed, 1, 64))
+        html = lower.startswith("<!doctype html") | lower.startswith("<html") | lower.startswith("<?xml")
+        html = sample.contains("<") & (html | F.rlike(trimmed, F.lit(rf"(?i)^<({HTML_TAGS})[{SPACE}>/]")))
+        return F.when(html, "html").when(is_markdown(sample), "md").when(is_csv(sample), "csv").otherwise("txt")
+
+    return _once(sample, kind)
 
 
 def name_format(name: Column) -> Column:

@@ -118,8 +118,10 @@ def crlf(text: Column) -> Column:
 
 def txt_encode(text: Column) -> Column:
     """A paragraph for each line."""
-    body = F.regexp_replace(text, f"^{BOM}", "")
-    return F.array_join(F.transform(lines(body), lambda x: F.concat(F.lit('<p class="txt-line">'), escape(x), F.lit("</p>"))), "\n")
+    body = escape(F.regexp_replace(text, f"^{BOM}", ""))
+    # Line ends become the seams between paragraphs, over the whole text at once.
+    joined = F.regexp_replace(body, NEWLINE, "</p>\n<p class=\"txt-line\">")
+    return F.concat(F.lit('<p class="txt-line">'), joined, F.lit("</p>"))
 
 
 class _Blocks(HTMLParser):
@@ -182,8 +184,9 @@ _ENCODED = r'(?s)\A<p class="txt-line">[^<>]*</p>(?:\n<p class="txt-line">[^<>]*
 def txt_decode(html: Column, eol: Column, bom: Column) -> Column:
     """The lines' text, joined by eol; edited HTML is parsed."""
     as_made = F.rlike(html, F.lit(_ENCODED))
-    inner = F.regexp_extract_all(html, F.lit(r'(?s)<p class="txt-line">(.*?)</p>'), F.lit(1))
-    text = F.when(as_made, F.array_join(F.transform(inner, unescape), "\n")).otherwise(_edited_text(F.when(~as_made, html)))
+    seam = '</p>\n<p class="txt-line">'
+    inner = F.replace(F.substring(html, F.lit(len(seam) - 4), F.length(html) - (len(seam) - 1)), F.lit(seam), F.lit("\n"))
+    text = F.when(as_made, unescape(inner)).otherwise(_edited_text(F.when(~as_made, html)))
     pieces = F.array_join(F.split(text, NEWLINE, -1), "\n")
     return F.concat(F.when(bom, BOM).otherwise(""), F.replace(pieces, F.lit("\n"), eol))
 

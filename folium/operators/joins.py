@@ -72,16 +72,23 @@ def extended_rows(template: DataFrame, values: DataFrame, keys: list[str]) -> Da
     return every.join(values, [*keys, "row", "col"], "left").select(*keys, "row", "col", "style", F.coalesce("text", F.lit("")).alias("text"))
 
 
-def inherited(spark: SparkSession, styles: DataFrame, fields: list[str], depth: int = 20) -> DataFrame:
-    """style_id with each field from the nearest style up the based_on chain that sets it; cycles end at `depth` steps."""
-    styles.createOrReplaceTempView("_styles")
-    chain = spark.sql(f"""
-        WITH RECURSIVE r(style_id, at, depth) AS (
-            SELECT style_id, style_id, 0 FROM _styles
-            UNION ALL SELECT r.style_id, s.based_on, r.depth + 1 FROM r JOIN _styles s ON r.at = s.style_id WHERE s.based_on IS NOT NULL AND r.depth < {depth})
-        SELECT * FROM r""")
-    up = chain.join(styles.withColumnRenamed("style_id", "at").drop("based_on"), "at")
-    return up.groupBy("style_id").agg(*(F.min(F.when(F.col(f).isNotNull(), F.struct("depth", f)))[f].alias(f) for f in fields))
+def inherited(spark: SparkSession, styles: DataFrame, fields: list[str], depth: int | None = None, keys: tuple[str, ...] = ()) -> DataFrame:
+    """style_id with each field from the nearest style up the based_on chain that sets it.
+
+    Chains of any length are followed, as far as a sheet has styles (or `depth`), so one that comes back on itself ends. keys name a
+    sheet: its styles are held together as one map, which each of them walks.
+    """
+    one = F.struct("based_on", *fields)
+    sheets = styles.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("style_id", one))).alias("_sheet"))
+    each = styles.join(F.broadcast(sheets) if not keys else sheets, list(keys)) if keys else styles.crossJoin(F.broadcast(sheets))
+
+    def step(s: Column, _: Column) -> Column:
+        up = F.get(F.transform(F.array(F.try_element_at("_sheet", s["based_on"])), lambda x: x), F.lit(0))
+        return F.struct(up["based_on"].alias("based_on"), *(F.coalesce(s[f], up[f]).alias(f) for f in fields))
+
+    steps = F.sequence(F.lit(1), F.lit(depth) if depth is not None else F.size("_sheet"))
+    found = F.aggregate(steps, one, step)
+    return each.select(*keys, "style_id", found.alias("_x")).select(*keys, "style_id", *(F.col("_x")[f].alias(f) for f in fields))
 
 
 def relation_targets(parts: DataFrame, rels: DataFrame, doc: str) -> DataFrame:

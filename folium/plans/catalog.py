@@ -7,10 +7,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folium.plans import grid_queries, text_queries
+from folium.plans import audit_queries, form_queries, grid_queries, office_queries, text_queries
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-_MODULES = (text_queries, grid_queries)
+_MODULES = (text_queries, grid_queries, form_queries, office_queries, audit_queries)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 ORACLES: dict[str, str] = {k: s for m in _MODULES for k, s in m.ORACLES.items()}
 

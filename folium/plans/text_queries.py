@@ -32,7 +32,7 @@ _FORMAT = rf"""
           - len(replace(array_to_string(list_filter(string_split(l, '"'), lambda y, i: i % 2 = 1), ''), d, '')))) AS n FROM x)
     SELECT {{id}}, CASE
       WHEN starts_with(lower(substr(t, 1, 64)), '<!doctype html') OR starts_with(lower(substr(t, 1, 64)), '<html') OR starts_with(lower(substr(t, 1, 64)), '<?xml')
-        OR regexp_matches(t, '(?i)^<({D.HTML_TAGS})[{S}>/]') THEN 'html'
+        OR regexp_matches(t, '(?i)^<(html|head|body|div|p|table|section|article|main|nav|header|footer|ul|ol|h[1-6]|meta|title|link|style|script)[{S}>/]') THEN 'html'
       WHEN regexp_matches(s, '(?m)^#{{{{1,6}}}}[{S}]+[^{S}]') OR regexp_matches(s, '(?m)^(```|~~~)') OR regexp_matches(s, '(?m)^[{S}]*[-*+][{S}]+[^{S}]')
         OR regexp_matches(s, '(?m)^[{S}]*[0-9]+\.[{S}]+[^{S}]') OR regexp_matches(s, '(?m)^>[{S}]+[^{S}]') OR regexp_matches(s, '\[[^\]]+\]\([^){S}]+\)')
         OR regexp_matches(s, '\*\*[^{S}][^*_]*\*\*|__[^{S}][^*_]*__') OR regexp_matches(s, '(?m)^[{S}]*\|?[{S}]*:?-{{{{3,}}}}:?[{S}]*\|') THEN 'md'

@@ -16,14 +16,19 @@ MOST_BYTES = 40 * 1024 * 1024
 _PARTS = "doc_id string, part string, content binary, error string"
 
 
-def unzipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def unzipped_upto(most: int | None):
+    """unzipped() with another limit, or none."""
+    return lambda batches: unzipped(batches, most)
+
+
+def unzipped(batches: Iterator[pa.RecordBatch], most: int | None = MOST_BYTES) -> Iterator[pa.RecordBatch]:
     """doc_id, content -> a row for each part; a broken file gives one row with its error."""
     schema = pa.schema([("doc_id", pa.string()), ("part", pa.string()), ("content", pa.binary()), ("error", pa.string())])
     for batch in batches:
         for doc, content in zip(batch.column("doc_id").to_pylist(), batch.column("content"), strict=True):
             data, rows = content.as_py() or b"", []
             try:
-                if len(data) > MOST_BYTES:
+                if most is not None and len(data) > most:
                     raise ValueError("file too large")
                 with zipfile.ZipFile(io.BytesIO(data)) as z:
                     rows = [(doc, i.filename, z.read(i), None) for i in z.infolist() if not i.is_dir()]
@@ -33,9 +38,9 @@ def unzipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
 
-def parts_of(files: DataFrame) -> DataFrame:
-    """files: doc_id, content."""
-    return files.select(F.col("doc_id").cast("string").alias("doc_id"), "content").mapInArrow(unzipped, _PARTS)
+def parts_of(files: DataFrame, most: int | None = MOST_BYTES) -> DataFrame:
+    """files: doc_id, content. Files of more than `most` bytes are rows with an error; with None all are opened."""
+    return files.select(F.col("doc_id").cast("string").alias("doc_id"), "content").mapInArrow(unzipped_upto(most), _PARTS)
 
 
 def zipped(parts: DataFrame) -> DataFrame:
