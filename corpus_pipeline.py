@@ -22,7 +22,7 @@ from folium.llm.token_files import token_output
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Ids to drop that are broadcast at most; beyond, both sides are shuffled.
 BROADCAST_IDS = 2_000_000
-#: SQL can't express the quality and mixing stages: their results are tested against brute force.
+#: SQL can't express the quality and mixing stages: tests/llm compares their operators with brute force.
 ORACLE_SQL = None
 
 
