@@ -15,6 +15,8 @@ import pyarrow.compute as pc
 U = np.uint64
 #: Texts are worked on in slices of about this many bytes; a longer text is a slice of its own.
 SLICE_BYTES = 1_000_000
+#: Bytes whose words are hashed at once.
+HASHED = 262_144
 
 
 def byte_set(*ranges: tuple[int, int]) -> np.ndarray:
@@ -86,13 +88,19 @@ class Words:
         self.n = np.diff(self.first)
 
     def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word."""
+        """A 64-bit hash of each word; worked out for HASHED bytes of words at once, so a long text takes no more than its words' hashes."""
+        out, a = np.zeros(len(self.starts), U), 0
         with np.errstate(over="ignore"):
-            size = len(self.buf)
-            sums = np.zeros(size + 1, U)
-            np.cumsum(_BYTE[self.buf] * powers(_BASE, size), out=sums[1:])
-            h = (sums[self.ends] - sums[self.starts]) * powers(_BASE_INV, size)[self.starts]
-            return mix(h + (self.ends - self.starts).astype(U) * _STEP[0])
+            while a < len(out):
+                b = max(a + 1, int(np.searchsorted(self.ends, self.starts[a] + HASHED, side="right")))
+                lo, hi = int(self.starts[a]), int(self.ends[b - 1])
+                begin, end = self.starts[a:b] - lo, self.ends[a:b] - lo
+                sums = np.zeros(hi - lo + 1, U)
+                np.cumsum(_BYTE[self.buf[lo:hi]] * powers(_BASE, hi - lo), out=sums[1:])
+                h = (sums[end] - sums[begin]) * powers(_BASE_INV, hi - lo)[begin]
+                out[a:b] = mix(h + (end - begin).astype(U) * _STEP[0])
+                a = b
+        return out
 
     def covered(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Which bytes lie in the ranges, which do not overlap."""
