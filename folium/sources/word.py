@@ -35,6 +35,10 @@ PIECES = (
 )
 
 
+#: Rows, and characters in them, that are passed on at once.
+MOST_ROWS, MOST_CHARS = 5_000, 16_000_000
+
+
 def blank(node: Node) -> bool:
     return node.tag == TEXT and not node.text.strip()
 
@@ -107,7 +111,11 @@ def rows_of(frame: DataFrame, make, schema: str, *columns: str) -> DataFrame:
     names = [x.split()[0] for x in re.sub(r"<[^>]*>", "", schema).split(", ")]
     whole = [x.split()[0] for x in schema.split(", ") if x.split()[1] in ("int", "long")]
 
+    def shaped(held: list[list]) -> pd.DataFrame:
+        return pd.DataFrame(held, columns=names, dtype=object).astype({n: "Int64" for n in whole})
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, size = [], 0
         for pdf in frames:
             for doc, *given in zip(pdf["doc_id"], *(pdf[c] for c in columns), strict=True):
                 try:
@@ -116,9 +124,13 @@ def rows_of(frame: DataFrame, make, schema: str, *columns: str) -> DataFrame:
                     if "error" not in names:
                         continue
                     rows = [{"doc_id": doc, "error": f"{type(e).__name__}: {e}"}]
-                if rows:
-                    out = pd.DataFrame([[r.get(n) for n in names] for r in rows], columns=names, dtype=object)
-                    yield out.astype({n: "Int64" for n in whole})
+                held += [[r.get(n) for n in names] for r in rows]
+                size += sum(len(v) for r in rows for v in r.values() if isinstance(v, str | bytes))
+                if len(held) > MOST_ROWS or size > MOST_CHARS:
+                    yield shaped(held)
+                    held, size = [], 0
+        if held:
+            yield shaped(held)
 
     return frame.select(F.col("doc_id").cast("string").alias("doc_id"), *columns).mapInPandas(run, schema)
 
