@@ -5,13 +5,14 @@ after v is
 
     p(w|v) = (c(v,w) - D) / c(v) + rest(v) * p(w),    p(w) = max(n(w) - D, 0) / n + rest / (words + 1),
 
-n(w) being the number of words seen before w. The first term stands for bigrams seen LEAST times or more; rarer ones count in c(v)
-and n(w), and their share is in rest(v). Without that term the chance is a product, so a text's log-probability is
+n(w) being the number of words seen before w. The first term stands for every bigram that was seen (least: or only for those seen so often; rarer ones then count in c(v)
+and n(w), and their share is in rest(v)). Without that term the chance is a product, so a text's log-probability is
 the sum of log rest(v) and log p(w) over all its words, plus log p(w|v) - log rest(v) - log p(w) over such bigrams. Each of
 these is one entry of a table of weights by key: contexts, words and bigrams. A text asks for its keys; the SHARD_ROWS most
 frequent entries are one shard that is broadcast and looked up in place, and the other keys are joined to the rest of the table,
-in shards by key, unless a Bloom filter of these, of at most BLOOM_BITS bits, tells that they have no entry. Neither where an
-entry is looked up nor the filter changes a result.
+unless a Bloom filter of these, of at most BLOOM_BITS bits, tells that they have no entry. Weights and look-ups go through their
+joins in a few passes, each for its share of keys, so that less is on disk at once. Neither where an entry is looked up, nor the
+filter, nor the number of passes changes a result.
 
 One in HELD_OUT trusted documents is left out of the counts, and on these the quantiles are taken: a document is rejected if its
 perplexity, drawn towards its language's mean by PRIOR words, is above the language's quantile over held-out trusted documents
@@ -37,10 +38,14 @@ U = np.uint64
 SHARD_ROWS, BROADCAST_ROWS = 3_000_000, 2_000_000
 #: The quantile of trusted documents, what is allowed beyond it, and the words that the mean counts for.
 QUANTILE, MARGIN, PRIOR, HELD_OUT = 0.99, 1.3, 30, 5
-#: Times that a bigram with a weight of its own is seen at least; most bits of the filter, and bits that an entry sets.
-LEAST, BLOOM_BITS, BLOOM_SET = 3, 1 << 29, 3
+#: Times that a bigram with a weight of its own is seen at least: all have one.
+LEAST = 1
+#: Most bits of the filter, bits that an entry sets, and parts of the filter, told by a key's highest bits.
+BLOOM_BITS, BLOOM_SET, REGIONS = 1 << 29, 3, 64
 #: Words that a task gathers before it passes them on; passes over trusted text, each for its share of bigrams; bytes of text behind a task that adds up.
 GATHER, PASSES, REDUCE_BYTES = 400_000, 2, 6_000_000
+#: Passes over a share's bigrams for their weights; most passes over documents for their look-ups, and over these.
+WEIGH, SCORE, LOOK = 2, 2, 4
 #: Bytes of text worked on at once.
 SLICE = 400_000
 
@@ -99,43 +104,20 @@ def counted(codes: dict[str, int], part: int, passes: int):
     return run
 
 
-_SUMS = "lang int, kind int, v long, w long, c long, types long, c1 long, c2 long, c3 long, c4 long, weak long, n_weak long"
-
-
-def added(least: int):
-    """mapInArrow function: lang, v, w, n of whole bigrams -> _SUMS: what each adds to its context (kind 0) and word (1), and the frequent ones (2)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [(b.column("lang").to_numpy(), b.column("v").to_numpy().view(U), b.column("w").to_numpy().view(U), b.column("n").to_numpy()) for b in batches if b.num_rows]
-        if not parts:
-            return
-        lang, v, w, n = (np.concatenate(x) for x in zip(*parts, strict=True))
-        both = joint(v, w)
-        order = np.argsort(both, kind="stable")
-        both, lang, v, w, n = both[order], lang[order], v[order], w[order], n[order]
-        at = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1]]))
-        lang, v, w, c = lang[at], v[at], w[at], np.add.reduceat(n, at)
-        none = np.zeros(0, U)
-
-        def batch(kind: int, lang, v, w, sums) -> pa.RecordBatch:
-            size = len(lang)
-            v, w = (x if len(x) else np.zeros(size, U) for x in (v, w))
-            columns = [lang.astype(np.int32), np.full(size, kind, np.int32), signed(v), signed(w), *(x.astype(np.int64) for x in sums)]
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["lang", "kind", "v", "w", "c", "types", "c1", "c2", "c3", "c4", "weak", "n_weak"])
-
-        for kind, key in ((0, v), (1, w)):
-            order = np.argsort(key, kind="stable")
-            k, own = key[order], c[order]
-            at = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-            tests = (own, np.ones(len(own), np.int64), own == 1, own == 2, own == 3, own == 4, np.where(own < least, own, 0), own < least)
-            sums = [np.add.reduceat(x.astype(np.int64), at) for x in tests]
-            yield batch(kind, lang[order][at], k[at] if kind == 0 else none, k[at] if kind == 1 else none, sums)
-        keep_ = c >= least
-        if keep_.any():
-            zero = np.zeros(int(keep_.sum()), np.int64)
-            yield batch(2, lang[keep_], v[keep_], w[keep_], (c[keep_], zero + 1, zero, zero, zero, zero, zero, zero))
-
-    return run
+def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """mapInArrow function: lang, v, w, n of whole bigrams -> lang, v, w, c: each bigram once, in order of contexts."""
+    parts = [(b.column("lang").to_numpy(), b.column("v").to_numpy().view(U), b.column("w").to_numpy().view(U), b.column("n").to_numpy()) for b in batches if b.num_rows]
+    if not parts:
+        return
+    lang, v, w, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+    both = joint(v, w)
+    order = np.argsort(both, kind="stable")
+    both, n = both[order], n[order]
+    at = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1]]))
+    c, first = np.add.reduceat(n, at), order[at]
+    order = np.argsort(v[first], kind="stable")
+    c, first = c[order], first[order]
+    yield pa.RecordBatch.from_arrays([pa.array(lang[first]), pa.array(signed(v[first])), pa.array(signed(w[first])), pa.array(c)], ["lang", "v", "w", "c"])
 
 
 def discounts(n1: Column, n2: Column, n3: Column, n4: Column) -> list[Column]:
@@ -165,66 +147,98 @@ def fit(trusted: DataFrame, least: int = LEAST) -> tuple[DataFrame, dict[str, fl
     for part in range(PASSES):
         # A context's bigrams are dealt out by their words too, so that a frequent one is in many tasks.
         pairs = trusted.mapInArrow(counted({x: i for i, x in enumerate(langs)}, part, PASSES), "lang int, v long, w long, n long")
-        shares.append(keep(pairs.repartition(tasks, "v", F.col("w").bitwiseAND(F.lit(7))).mapInArrow(added(least), _SUMS), "share"))
+        shares.append(keep(pairs.repartition(tasks, "v", F.col("w").bitwiseAND(F.lit(7))).mapInArrow(added, "lang int, v long, w long, c long"), "share"))
     every = shares[0]
     for x in shares[1:]:
         every = every.union(x)
-    totals = [F.sum(c).alias(c) for c in ("c", "types", "c1", "c2", "c3", "c4", "weak", "n_weak")]
-    sums = keep(every.groupBy("lang", "kind", "v", "w").agg(*totals), "sums")
-    for x in shares:
-        forget(x)
-    words = sums.where("kind = 1")
-    d = by_language(words, [(F.col("types") == i).cast("long") for i in (1, 2, 3, 4)])
+    words = keep(every.groupBy("lang", "w").agg(F.sum("c").alias("f"), F.count("*").alias("n")), "words")
+    seen = [F.sum((F.col("c") == i).cast("long")).alias(f"c{i}") for i in (1, 2, 3, 4)]
+    weak = [F.sum(F.when(F.col("c") < least, F.col("c")).otherwise(0)).alias("weak"), F.sum((F.col("c") < least).cast("long")).alias("n_weak")]
+    contexts = keep(every.groupBy("lang", "v").agg(F.sum("c").alias("all"), F.count("*").alias("types"), *seen, *weak), "contexts")
+    made = [words, contexts]
+    d = by_language(words, [(F.col("n") == i).cast("long") for i in (1, 2, 3, 4)])
     taken = lambda c: F.when(F.col(c) == 1, F.col("d1")).when(F.col(c) == 2, F.col("d2")).otherwise(F.col("d3"))
-    words = words.join(F.broadcast(d), "lang").select("lang", "w", F.col("c").alias("f"), F.col("types").alias("n"), taken("types").alias("off"))
+    words = words.join(F.broadcast(d), "lang").select("lang", "w", "f", "n", taken("n").alias("off"))
     total = words.groupBy("lang").agg(F.sum("n").alias("all"), F.sum("off").alias("taken"), F.count("*").alias("types"))
     total = keep(total.select("lang", "all", (F.col("taken") / F.col("all") / (F.col("types") + 1)).alias("unseen")), "totals")
     words = words.join(F.broadcast(total), "lang").select("lang", "w", "f", (F.greatest(F.col("n") - F.col("off"), F.lit(0)) / F.col("all") + F.col("unseen")).alias("p"), "unseen")
-    contexts = sums.where("kind = 0")
     d = keep(by_language(contexts, [F.col(f"c{i}") for i in (1, 2, 3, 4)]), "discounts")
     # What the kept bigrams of a context give up, and all of the others.
     kept = [F.col("c1") if least <= 1 else F.lit(0), F.col("c2") if least <= 2 else F.lit(0)]
     off = F.col("weak") + kept[0] * F.col("d1") + kept[1] * F.col("d2") + (F.col("types") - F.col("n_weak") - kept[0] - kept[1]) * F.col("d3")
-    contexts = contexts.join(F.broadcast(d), "lang").select("lang", "v", F.col("c").alias("all"), (off / F.col("c")).alias("rest"))
-    seen = sums.where("kind = 2").select("lang", "v", "w", "c").join(contexts, ["lang", "v"]).join(words.select("lang", "w", "p"), ["lang", "w"]).join(F.broadcast(d), "lang")
-    high = F.greatest(F.col("c") - taken("c"), F.lit(0)) / F.col("all") + F.col("rest") * F.col("p")
+    contexts = contexts.join(F.broadcast(d), "lang").select("lang", "v", "all", off.alias("off"))
     table = words.select(F.col("w").alias("key"), "f", F.log(F.col("p") / F.col("unseen")).cast("float").alias("weight"))
-    # After most words all bigrams are rare: their rest is 1, whose weight of 0 needs no entry.
-    table = table.union(contexts.where("rest <> 1").select("v", "all", F.log("rest").cast("float")))
-    table = table.union(seen.select(joint_column("v", "w"), "c", F.log(high / F.col("rest") / F.col("p")).cast("float")))
-    table, unseen = keep(table, "weights"), {langs[r.lang]: float(np.log(r.unseen)) for r in total.collect()}
-    for x in (sums, total, d):
+    # A context all of whose bigrams are rare keeps nothing for them: its rest is 1, whose weight of 0 needs no entry.
+    table = keep(table.union(contexts.where("off <> all").select("v", "all", F.log(F.col("off") / F.col("all")).cast("float"))), "weights")
+    # What a bigram keeps by what its context gives up, then by its word's chance: log(((c - D) / c(v) + rest(v) p(w)) / rest(v) / p(w)).
+    high = (F.greatest(F.col("c") - taken("c"), F.lit(0)) / F.col("off")).alias("high")
+    for x in shares:
+        for part in range(WEIGH):
+            some = x.where((F.col("c") >= least) & (F.pmod(F.shiftright("w", 8), F.lit(WEIGH)) == part))
+            some = some.join(contexts.hint("shuffle_hash"), ["lang", "v"]).join(F.broadcast(d), "lang").select("lang", "w", joint_column("v", "w").alias("key"), "c", high)
+            some = some.join(words.select("lang", "w", "p").hint("shuffle_hash"), ["lang", "w"])
+            table = table.union(keep(some.select("key", "c", F.log1p(F.col("high") / F.col("p")).cast("float")), "weights"))
+        forget(x)
+    unseen = {langs[r.lang]: float(np.log(r.unseen)) for r in total.collect()}
+    for x in (*made, total, d):
         forget(x)
     return table, unseen
 
 
-def bloom(rare: DataFrame, most: int = BLOOM_BITS) -> np.ndarray:
-    """Bits set by the keys of rare, as 64-bit words: 12 bits a key or more, up to most."""
-    n = rare.count()
-    bits = min(most, max(64, 1 << (12 * n).bit_length()))
-    place = lambda i: F.shiftrightunsigned("key", 7 * i).bitwiseAND(F.lit(bits - 1))
-    marks = rare.select(F.explode(F.array(*(place(i) for i in range(BLOOM_SET)))).alias("at"))
-    one = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("at").bitwiseAND(F.lit(63)).cast("int"))
-    found = marks.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(one).alias("bits")).toArrow()
-    out = np.zeros(bits // 64, U)
-    out[found.column("word").to_numpy()] = found.column("bits").to_numpy().view(U)
-    return out
+def marked(bits: int):
+    """mapInArrow function: key -> region, bits: a part of the filter, for each part that has one of the keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: dict[int, np.ndarray] = {}
+        for batch in batches:
+            key = batch.column("key").to_numpy().view(U)
+            region = key >> U(58)
+            for r in np.unique(region):
+                marks, mine = own.setdefault(int(r), np.zeros(bits // REGIONS, bool)), key[region == r]
+                for i in range(BLOOM_SET):
+                    marks[(mine >> U(7 * i)) & U(bits // REGIONS - 1)] = True
+        for r, marks in own.items():
+            yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([np.packbits(marks, bitorder="little").tobytes()])], ["region", "bits"])
+
+    return run
+
+
+def n_bits(n: int, most: int) -> int:
+    """12 bits a key or more, up to most."""
+    return min(most, max(64 * REGIONS, 1 << (12 * n).bit_length()))
+
+
+def bloom(rare: DataFrame, n: int, most: int = BLOOM_BITS) -> np.ndarray:
+    """Bits set by the n keys of rare, as 64-bit words; a task makes whole parts of it."""
+    bits = n_bits(n, most)
+    size, out = bits // REGIONS // 8, np.zeros(bits // 8, np.uint8)
+    parts = keep(rare.select("key").repartition(REGIONS, F.shiftrightunsigned("key", 58)).mapInArrow(marked(bits), "region int, bits binary"), "filter")
+    found = parts.toArrow()
+    for r, part in zip(found.column("region").to_pylist(), found.column("bits").to_pylist(), strict=True):
+        out[r * size : (r + 1) * size] = np.frombuffer(part, np.uint8)
+    forget(parts)
+    return out.view(U)
+
+
+def spots(key: np.ndarray, i: int, bits: int) -> np.ndarray:
+    """The i-th bit that each key sets."""
+    return (key >> U(58)) * U(bits // REGIONS) + ((key >> U(7 * i)) & U(bits // REGIONS - 1))
 
 
 def filtered(known: np.ndarray) -> np.ndarray:
     """The filter of keys at hand."""
-    bits = max(64, 1 << (12 * len(known)).bit_length())
+    bits = n_bits(len(known), BLOOM_BITS)
     marks = np.zeros(bits, bool)
     for i in range(BLOOM_SET):
-        marks[(known >> U(7 * i)) & U(bits - 1)] = True
+        marks[spots(known, i, bits)] = True
     return np.packbits(marks, bitorder="little").view(U)
 
 
 def perhaps(filter_: np.ndarray, key: np.ndarray) -> np.ndarray:
     """Whether the keys may be in the filter."""
-    mask, left = U(len(filter_) * 64 - 1), None
+    left = None
     for i in range(BLOOM_SET):  # only keys that pass are looked at again
-        at = (key if left is None else key[left]) >> U(7 * i) & mask
+        at = spots(key if left is None else key[left], i, len(filter_) * 64)
         good = (filter_[at >> U(6)] >> (at & U(63))) & U(1) == 1
         left = np.flatnonzero(good) if left is None else left[good]
     out = np.zeros(len(key), bool)
@@ -232,6 +246,26 @@ def perhaps(filter_: np.ndarray, key: np.ndarray) -> np.ndarray:
     return out
 
 
+def directory(known: np.ndarray) -> tuple[np.ndarray, np.uint64]:
+    """Where in the sorted keys those begin that share their highest bits, for all values of these, and how far these are shifted."""
+    bits = max(1, len(known).bit_length() - 1)
+    return np.concatenate([[0], np.cumsum(np.bincount((known >> U(64 - bits)).astype(np.int64), minlength=1 << bits))]).astype(np.int32), U(64 - bits)
+
+
+def looked_up(known: np.ndarray, begin: np.ndarray, shift: np.uint64, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the keys are known, and their places there."""
+    top = (key >> shift).astype(np.int64)
+    at, end, left, which, place = begin[top], begin[top + 1], np.arange(len(key)), [], []
+    while len(left):
+        open_ = at < end
+        at, end, left = at[open_], end[open_], left[open_]
+        hit = known[at] == key[left]
+        which.append(left[hit])
+        place.append(at[hit])
+        at, end, left = at[~hit] + 1, end[~hit], left[~hit]
+    return (np.concatenate(which), np.concatenate(place)) if which else (np.zeros(0, np.int64), np.zeros(0, np.int32))
+
+
 def frequent(table: DataFrame, most: int) -> int:
     """The least frequency of which at most so many entries are that frequent."""
     steps = table.groupBy(F.floor(F.log2("f") * 4).alias("step")).agg(F.min("f").alias("f"), F.count("*").alias("n")).orderBy(F.desc("step")).collect()
@@ -245,10 +279,11 @@ def frequent(table: DataFrame, most: int) -> int:
 
 
 def asked(shared, unseen: dict[str, float]):
-    """mapInArrow function: row, doc_id, lang, text -> row, doc_id, lang, model, n_words, logp (of what is found in place), keys and n of the others."""
+    """mapInArrow function: row, doc_id, lang, text -> row, doc_id, lang, model, n_words, logp (of what is found in place), keys of the others, as often as they stand there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, weight, here_, away_ = shared.value
+        others, (begin, shift) = bool(away_.any()), directory(known)
         for batch in slices(batches, size=SLICE):
             words = Words(batch.column("text"))
             doc, n = np.repeat(np.arange(len(words.n)), words.n), len(words.n)
@@ -262,11 +297,10 @@ def asked(shared, unseen: dict[str, float]):
                 open_keys, open_docs = [], []
                 for key in (v, w, joint(v, w)):
                     near = np.flatnonzero(perhaps(here_, key))
-                    place = np.minimum(np.searchsorted(known, key[near]), max(len(known) - 1, 0))
-                    found = known[place] == key[near] if len(known) else np.zeros(len(near), bool)
-                    near, place = near[found], place[found]
+                    own, place = looked_up(known, begin, shift, key[near])
+                    near = near[own]
                     logp += np.bincount(doc[at[near]], weight[place], n) if len(near) else 0.0
-                    if len(away_) > 1 or away_.any():
+                    if others:
                         far = np.ones(len(key), bool)
                         far[near] = False
                         far = np.flatnonzero(far)
@@ -274,23 +308,49 @@ def asked(shared, unseen: dict[str, float]):
                         open_keys.append(key[far])
                         open_docs.append(doc[at[far]])
                 ask, of = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (open_keys, open_docs))
-                order = np.lexsort((ask, of))
+                order = np.argsort(of, kind="stable")
                 ask, of = ask[order], of[order]
-                first = np.flatnonzero(np.concatenate([[True], (ask[1:] != ask[:-1]) | (of[1:] != of[:-1])])) if len(ask) else np.zeros(0, np.int64)
-                times = np.diff(np.append(first, len(ask))).astype(np.int32)
-                ends = np.searchsorted(of[first], which, side="right").astype(np.int32)
+                ends = np.searchsorted(of, which, side="right").astype(np.int32)
                 offsets = pa.array(np.concatenate([[0], ends]).astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("row").take(pa.array(which)), batch.column("doc_id").take(pa.array(which)), batch.column("lang").take(pa.array(which)), pa.array([model] * len(which), pa.string()),
-                        pa.array(words.n[which].astype(np.int64)), pa.array(logp[which]), pa.ListArray.from_arrays(offsets, pa.array(signed(ask[first]))), pa.ListArray.from_arrays(offsets, pa.array(times)),
+                        pa.array(words.n[which].astype(np.int64)), pa.array(logp[which]), pa.ListArray.from_arrays(offsets, pa.array(signed(ask))),
                     ],
-                    ["row", "doc_id", "lang", "model", "n_words", "logp", "keys", "times"],
+                    ["row", "doc_id", "lang", "model", "n_words", "logp", "keys"],
                 )
 
     return run
 
 
+def nats(texts: DataFrame, shared, unseen: dict[str, float], rare: DataFrame, looks: int) -> DataFrame:
+    """doc_id, lang, model, n_words, nats: each text by its language's model, or by the one that fits best; looks: passes over look-ups."""
+    schema = "row long, doc_id long, lang string, model string, n_words long, logp double, keys array<long>"
+    parts = keep(texts.select(F.monotonically_increasing_id().alias("row"), "doc_id", "lang", "text").where(F.col("lang").isNull() | F.col("lang").isin(list(unseen))).mapInArrow(asked(shared, unseen), schema), "asked")
+    shared.unpersist(True)
+    # A row's number for each model.
+    parts_ = parts.withColumn("place", F.col("row") * max(1, len(unseen)) + F.array_position(F.array(*map(F.lit, unseen)).cast("array<string>"), F.col("model")))
+    wanted = parts_.select("place", F.explode("keys").alias("key"))
+    sums = []
+    for part in range(looks):
+        own = F.pmod(F.shiftright("key", 16), F.lit(looks)) == part
+        found = wanted.where(own).join(rare.where(own).hint("shuffle_hash"), "key")
+        sums.append(keep(found.groupBy("place").agg(F.sum(F.col("weight").cast("double")).alias("more")), "more"))
+    each = parts_.drop("keys").withColumn("more", F.lit(0.0))
+    if sums:
+        more = sums[0]
+        for x in sums[1:]:
+            more = more.union(x)
+        each = each.drop("more").join(more.groupBy("place").agg(F.sum("more").alias("more")), "place", "left")
+    each = each.withColumn("nats", -(F.col("logp") + F.coalesce("more", F.lit(0.0))))
+    best = F.min_by(F.struct("doc_id", "lang", "model", "n_words", "nats"), F.struct("nats", "model"))
+    single = each.where("lang is not null").select("doc_id", "lang", "model", "n_words", "nats")
+    each = keep(single.union(each.where("lang is null and n_words > 0").groupBy("row").agg(best.alias("x")).select("x.*")), "nats")
+    for x in (parts, *sums):
+        forget(x)
+    return each
+
+
 def quality(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN, prior: float = PRIOR, held_out: int = HELD_OUT, least: int = LEAST, shard_rows: int = SHARD_ROWS, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """doc_id, lang, n_words, perplexity, threshold, rejected, model_lang for each row of docs (doc_id, text, lang; other columns are left alone).
 
@@ -311,19 +371,18 @@ def quality(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, marg
     known = sent.column("key").to_numpy().view(U)
     order = np.argsort(known)
     rare = table.where(F.col("f") < bar).select("key", "weight")
-    shared = docs.sparkSession.sparkContext.broadcast((known[order], sent.column("weight").to_numpy()[order], filtered(known), bloom(rare)))
-    schema = "row long, doc_id long, lang string, model string, n_words long, logp double, keys array<long>, times array<int>"
-    parts = keep(texts.select(F.monotonically_increasing_id().alias("row"), "doc_id", "lang", "text").where(F.col("lang").isNull() | F.col("lang").isin(list(unseen))).mapInArrow(asked(shared, unseen), schema), "asked")
+    n_rare = rare.count()
+    shared = docs.sparkSession.sparkContext.broadcast((known[order], sent.column("weight").to_numpy()[order], filtered(known), bloom(rare, n_rare)))
+    looks = min(LOOK, -(-n_rare // shard_rows))
+    scored = [texts] if looks < 2 else [texts.where(F.pmod(F.shiftright(F.xxhash64("doc_id"), 24), F.lit(SCORE)) == i) for i in range(SCORE)]
+    each = None
+    for some in scored:
+        own = nats(some, shared, unseen, rare, looks)
+        each = own if each is None else each.union(own)
+    shared.destroy()
     wordless = F.col("lang").isNull() & (n_words(F.col("text")) == 0)
     others = texts.where(wordless | F.col("lang").isNotNull() & ~F.col("lang").isin(list(unseen))) if unseen else texts
-    wanted = parts.select("row", "model", F.explode(F.arrays_zip("keys", "times")).alias("k")).select("row", "model", F.col("k.keys").alias("key"), F.col("k.times").alias("times"))
-    more = wanted.join(rare, "key").groupBy("row", "model").agg(F.sum(F.col("weight").cast("double") * F.col("times")).alias("more"))
-    each = parts.drop("keys", "times").join(more, ["row", "model"], "left").withColumn("nats", -(F.col("logp") + F.coalesce("more", F.lit(0.0))))
-    best = F.min_by(F.struct("doc_id", "lang", "model", "n_words", "nats"), F.struct("nats", "model"))
-    single = each.where("lang is not null").select("doc_id", "lang", "model", "n_words", "nats")
-    each = keep(single.union(each.where("lang is null and n_words > 0").groupBy("row").agg(best.alias("x")).select("x.*")), "nats")
-    for x in (parts, table):
-        forget(x)
+    forget(table)
     ours = each.where(F.col("lang").isNotNull() & held).join(good, "doc_id", "left_semi")
     entropy = (F.col("nats") + prior * F.col("mean")) / (F.col("n_words") + prior)
     mean = (F.sum("nats") / F.greatest(F.sum("n_words"), F.lit(1))).alias("mean")

@@ -170,6 +170,25 @@ def test_quality_by_brute_force(spark):
     assert got[500].model_lang == best and got[503].perplexity is None and not got[503].rejected and got[501].n_words == 0
 
 
+def test_quality_weighs_bigrams_seen_once(spark):
+    made = [(i, "a b c d a b c d", "x") for i in range(40)] + [(100 + i, f"a{i} b{i} c{i} d{i}", "x") for i in range(20)] + [(i, t, "x") for i in range(1000, 1020) for t in [f"a{i - 1000} b{i - 1000}"]]
+    made += [(i, f"b{i - 2000} a{i - 2000}", "x") for i in range(2000, 2020)]
+    table = spark.createDataFrame(made, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, 0) for i, _, _ in made if i < 1000], "doc_id long, quality int, toxic int")
+    held = {r.doc_id for r in table.where(F.pmod(F.xxhash64("doc_id"), F.lit(quality.HELD_OUT)) == 0).collect()}
+    trusted = table.where("doc_id < 1000").where(~F.col("doc_id").isin(list(held))).select("lang", "text")
+    seen = Counter((v, w) for _, t, _ in (r for r in made if r[0] < 1000 and r[0] not in held) for v, w in zip(["<s>", *t.split()], t.split()))
+    words, contexts = {w for _, w in seen}, {v for v, _ in seen}
+    weights, _ = quality.fit(trusted)
+    assert min(seen.values()) == 1 and weights.count() == len(seen) + len(words) + len(contexts)
+    whole = {r.doc_id: r.perplexity for r in quality.quality(table, labels).collect()}
+    for settings in ({"shard_rows": 7}, {"shard_rows": 40}):
+        few = {r.doc_id: r.perplexity for r in quality.quality(table, labels, **settings).collect()}
+        assert few == {i: pytest.approx(x) for i, x in whole.items()}
+    once = [i for i in range(20) if 100 + i not in held]
+    assert once and all(whole[1000 + i] < whole[2000 + i] for i in once)
+
+
 def test_top_k_blocks_and_shuffled_queries(spark):
     rng = np.random.default_rng(5)
     rows = [(i, (rng.normal(size=8) * rng.choice([0.1, 1, 5])).tolist(), "extra") for i in range(900)]
