@@ -278,6 +278,14 @@ def frequent(table: DataFrame, most: int) -> int:
     return bar if bar is not None else 1 << 62
 
 
+def shard(entries: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Their keys in ascending order, weights, and filter; the driver keeps nothing else of them."""
+    sent = entries.select("key", "weight").toArrow()
+    key = sent.column("key").to_numpy().view(U)
+    order = np.argsort(key)
+    return key[order], sent.column("weight").to_numpy()[order], filtered(key)
+
+
 def asked(shared, unseen: dict[str, float]):
     """mapInArrow function: row, doc_id, lang, text -> row, doc_id, lang, model, n_words, logp (of what is found in place), keys of the others, as often as they stand there."""
 
@@ -323,11 +331,12 @@ def asked(shared, unseen: dict[str, float]):
     return run
 
 
-def nats(texts: DataFrame, shared, unseen: dict[str, float], rare: DataFrame, looks: int) -> DataFrame:
-    """doc_id, lang, model, n_words, nats: each text by its language's model, or by the one that fits best; looks: passes over look-ups."""
+def nats(texts: DataFrame, shared, unseen: dict[str, float], rare: DataFrame, looks: int, last: bool) -> DataFrame:
+    """doc_id, lang, model, n_words, nats: each text by its language's model, or by the one that fits best; looks: passes over look-ups; last: nothing asks shared any more."""
     schema = "row long, doc_id long, lang string, model string, n_words long, logp double, keys array<long>"
     parts = keep(texts.select(F.monotonically_increasing_id().alias("row"), "doc_id", "lang", "text").where(F.col("lang").isNull() | F.col("lang").isin(list(unseen))).mapInArrow(asked(shared, unseen), schema), "asked")
-    shared.unpersist(True)
+    # The driver's copy too, if it can: joins follow that need none.
+    (shared.destroy if last else shared.unpersist)(True)
     # A row's number for each model.
     parts_ = parts.withColumn("place", F.col("row") * max(1, len(unseen)) + F.array_position(F.array(*map(F.lit, unseen)).cast("array<string>"), F.col("model")))
     wanted = parts_.select("place", F.explode("keys").alias("key"))
@@ -367,19 +376,15 @@ def quality(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, marg
     held = F.pmod(F.xxhash64("doc_id"), F.lit(held_out)) == 0
     table, unseen = fit(trusted.where(~held).select("lang", "text"), least)
     bar = frequent(table, shard_rows)
-    sent = table.where(F.col("f") >= bar).select("key", "weight").toArrow()
-    known = sent.column("key").to_numpy().view(U)
-    order = np.argsort(known)
     rare = table.where(F.col("f") < bar).select("key", "weight")
     n_rare = rare.count()
-    shared = docs.sparkSession.sparkContext.broadcast((known[order], sent.column("weight").to_numpy()[order], filtered(known), bloom(rare, n_rare)))
+    shared = docs.sparkSession.sparkContext.broadcast((*shard(table.where(F.col("f") >= bar)), bloom(rare, n_rare)))
     looks = min(LOOK, -(-n_rare // shard_rows))
     scored = [texts] if looks < 2 else [texts.where(F.pmod(F.shiftright(F.xxhash64("doc_id"), 24), F.lit(SCORE)) == i) for i in range(SCORE)]
     each = None
-    for some in scored:
-        own = nats(some, shared, unseen, rare, looks)
+    for i, some in enumerate(scored, 1):
+        own = nats(some, shared, unseen, rare, looks, i == len(scored))
         each = own if each is None else each.union(own)
-    shared.destroy()
     wordless = F.col("lang").isNull() & (n_words(F.col("text")) == 0)
     others = texts.where(wordless | F.col("lang").isNotNull() & ~F.col("lang").isin(list(unseen))) if unseen else texts
     forget(table)

@@ -1,14 +1,18 @@
 """Brute-force checks and edge cases: nulls, empty and long texts, ties, repeated rows, empty tables, clashing columns."""
 
 import hashlib
+import os
 import random
 import re
+import time
+import weakref
 import zlib
 
 import numpy as np
 import pyarrow as pa
 import public_tokenizers
 import pytest
+from pyspark import SparkContext
 
 from folium.llm import contamination, language, licenses, mixing, near_dups, quality, secrets, substrings, token_files, topk, words
 
@@ -214,6 +218,34 @@ def test_quality(spark, docs, empty):
     assert quality.quality(docs, labels.where("false")).where("rejected").count() == 0 and quality.quality(empty, labels).count() == 0
 
 
+def test_quality_frees_the_driver(spark, monkeypatch):
+    held, seen = [], []
+
+    def broadcast(self, value, f=SparkContext.broadcast):
+        held.append(f(self, value))
+        return held[-1]
+
+    def to_arrow(self, f=type(spark.range(0)).toArrow):
+        got = f(self)
+        if got.column_names == ["key", "weight"]:
+            seen.append(weakref.ref(got))
+        return got
+
+    def keep(df, name, f=quality.keep):
+        at.append((name, os.path.exists(held[-1]._path) if held else None, seen[-1]() is not None if seen else None))
+        return f(df, name)
+
+    at = []
+    monkeypatch.setattr(SparkContext, "broadcast", broadcast)
+    monkeypatch.setattr(type(spark.range(0)), "toArrow", to_arrow)
+    monkeypatch.setattr(quality, "keep", keep)
+    rng = random.Random(3)
+    table = spark.createDataFrame([(i, " ".join(f"w{rng.randrange(40)}" for _ in range(30)), "en") for i in range(60)], "doc_id long, text string, lang string")
+    assert quality.quality(table, table.selectExpr("doc_id", "1 as quality", "0 as toxic"), shard_rows=20).count() == 60
+    more = [x[1:] for x in at if x[0] == "more"]
+    assert len(more) == 2 * quality.LOOK and more[-1] == (False, False) and not any(held for _, held in more)
+
+
 def test_language(spark, docs, empty):
     pieces, chance = language.Pieces.of(["a", "b", "ab", "▁", "▁a"]), np.array([[0.3], [0.2], [0.25], [0.2], [0.05], [0.0]])
     p = {"a": 0.3, "b": 0.2, "ab": 0.25, "▁": 0.2, "▁a": 0.05}
