@@ -218,6 +218,23 @@ def test_quality(spark, docs, empty):
     assert quality.quality(docs, labels.where("false")).where("rejected").count() == 0 and quality.quality(empty, labels).count() == 0
 
 
+def test_keep_leaves_no_shuffle_files(spark):
+    from pyspark.sql import functions as F
+
+    from folium.llm.shared import keep
+
+    cleanup = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    dirs = list(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString())
+    files = lambda: {f for top in dirs for _, _, names in os.walk(top) for f in names if f.startswith("shuffle_")}
+    before, setting = files(), spark.conf.get(cleanup, "false")
+    sums = keep(spark.range(100_000).groupBy((F.col("id") % 1000).alias("k")).agg(F.sum("id").alias("n")), "sums")
+    for _ in range(20):  # files go in the background
+        if not (left := files() - before):
+            break
+        time.sleep(0.1)
+    assert not left and sums.count() == sums.count() == 1000 and spark.conf.get(cleanup, "false") == setting
+
+
 def test_quality_frees_the_driver(spark, monkeypatch):
     held, seen = [], []
 
