@@ -16,7 +16,7 @@ from folium.llm.contamination import leaks
 from folium.llm.mixing import mix_documents
 from folium.llm.near_dups import near_duplicates
 from folium.llm.quality import quality
-from folium.llm.shared import keep, place, ready, table
+from folium.llm.shared import keep, place, table, trim
 from folium.llm.token_files import token_output
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -37,8 +37,9 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def no_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ready(spark)
+    trim(spark)
     found = keep(near_duplicates(docs), "near")
+    trim(spark)
     out = without(docs, found.where("not kept"))
     n, ids = found.where("doc_id is not null").agg(F.count("*"), F.count_distinct("doc_id")).first()
     return out if n == ids else out.where("doc_id is null").union(out.where("doc_id is not null").dropDuplicates(["doc_id"]))
@@ -55,6 +56,7 @@ def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    trim(spark)
     return token_output(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folium.llm.shared import forget, keep, n_words
+from folium.llm.shared import forget, keep, n_words, trim
 from folium.llm.words import Words, mix, signed, slices
 
 U = np.uint64
@@ -382,12 +382,14 @@ def quality(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, marg
     looks = min(LOOK, -(-n_rare // shard_rows))
     scored = [texts] if looks < 2 else [texts.where(F.pmod(F.shiftright(F.xxhash64("doc_id"), 24), F.lit(SCORE)) == i) for i in range(SCORE)]
     each = None
+    trim(docs.sparkSession)
     for i, some in enumerate(scored, 1):
         own = nats(some, shared, unseen, rare, looks, i == len(scored))
         each = own if each is None else each.union(own)
     wordless = F.col("lang").isNull() & (n_words(F.col("text")) == 0)
     others = texts.where(wordless | F.col("lang").isNotNull() & ~F.col("lang").isin(list(unseen))) if unseen else texts
     forget(table)
+    trim(docs.sparkSession)
     ours = each.where(F.col("lang").isNotNull() & held).join(good, "doc_id", "left_semi")
     entropy = (F.col("nats") + prior * F.col("mean")) / (F.col("n_words") + prior)
     mean = (F.sum("nats") / F.greatest(F.sum("n_words"), F.lit(1))).alias("mean")
@@ -397,7 +399,8 @@ def quality(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, marg
     bars = keep(bars.union(pooled.select(F.lit("").alias("model"), "mean", "threshold")), "bars").collect()
     own = {r.model: r for r in bars if r.threshold is not None}
     fixed = [(k, *((own.get(k) or own[""])[1:])) for k in unseen] if "" in own else []
-    bars = docs.sparkSession.createDataFrame(fixed, "model string, mean double, threshold double")
+    # From Arrow: rows of Python objects would go through a second set of Python workers beside those of mapInArrow.
+    bars = docs.sparkSession.createDataFrame(pa.table([pa.array([x[i] for x in fixed], kind) for i, kind in enumerate((pa.string(), pa.float64(), pa.float64()))], ["model", "mean", "threshold"]))
     out = each.join(F.broadcast(bars), "model", "left").withColumn("perplexity", F.exp(entropy))
     out = out.select("doc_id", "lang", "n_words", "perplexity", "threshold", F.coalesce(F.col("perplexity") > F.col("threshold"), F.lit(False)).alias("rejected"), F.col("model").alias("model_lang"))
     none = F.lit(None)

@@ -263,6 +263,34 @@ def test_quality_frees_the_driver(spark, monkeypatch):
     assert len(more) == 2 * quality.LOOK and more[-1] == (False, False) and not any(held for _, held in more)
 
 
+def test_quality_frees_the_executors(spark, monkeypatch):
+    from folium.llm.shared import ready
+
+    big, did = ready(spark).sparkContext.broadcast(np.ones(10_000_000)), []
+
+    def use(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([os.getpid() + int(big.value[0]) - 1] * b.num_rows)], ["pid"])
+
+    pids = {r.pid for r in spark.range(0, 4, 1, 4).mapInArrow(use, "pid long").collect()}
+    mb = lambda: [int(open(f"/proc/{p}/statm").read().split()[1]) * os.sysconf("SC_PAGE_SIZE") / 1e6 for p in sorted(pids)]
+    big.destroy(True)
+    before = mb()
+    quality.trim(spark)
+    assert sum(before) - sum(mb()) > 70
+
+    def noted(name, f):
+        return lambda *args: (did.append(args[1] if name == "keep" else name), f(*args))[1]
+
+    for name in ("keep", "trim"):
+        monkeypatch.setattr(quality, name, noted(name, getattr(quality, name)))
+    monkeypatch.setattr(SparkContext, "parallelize", lambda *_: pytest.fail("rows of Python objects start Python workers of their own"))
+    table = spark.range(60).selectExpr("id as doc_id", "concat('one two three four w', id % 7) as text", "'en' as lang")
+    assert quality.quality(table, table.selectExpr("doc_id", "1 as quality", "0 as toxic"), shard_rows=20).where("threshold is not null").count() == 60
+    asked = [i for i, x in enumerate(did) if x == "asked"]
+    assert "trim" in did[: asked[0]] and "trim" in did[asked[-1] : did.index("bars")]
+
+
 def test_language(spark, docs, empty):
     pieces, chance = language.Pieces.of(["a", "b", "ab", "▁", "▁a"]), np.array([[0.3], [0.2], [0.25], [0.2], [0.05], [0.0]])
     p = {"a": 0.3, "b": 0.2, "ab": 0.25, "▁": 0.2, "▁a": 0.05}
