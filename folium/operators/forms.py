@@ -1,21 +1,27 @@
 """Forms: the slots of a document's markup, what they are called, and filling them.
 
-Everything up to the new texts is relational, over the nodes of folium.sources.markup. A slot is a node that may take a new text:
-an element that carries an edit id, a table cell of nothing but text, or a paragraph, heading or list item that holds neither a frozen
-element nor another slot. The walk from the root goes no further at the first such node, nor into a frozen one, so a slot is a
-stop without a stop above it. Slots are numbered in document order; ids are s0, s1, ... and of repeat groups g0, g1, ...
+A slot is a node that may take a new text: an element that carries an edit id, a table cell of nothing but text, or a paragraph,
+heading or list item that holds neither a frozen element nor another slot. The walk from the root goes no further at the first such
+node, nor into a frozen one, so a slot is a stop without a stop above it. Slots are numbered in document order; ids are s0, s1, ...
+and of repeat groups g0, g1, ...
+
+read() finds slots, labels, groups and tables of a document in one pass over its tree; a document's rows never leave its task. slots()
+states the same over a relation of nodes.
 """
 
 from __future__ import annotations
 
 import copy
+import re
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folium.functions.detect import SPACE
 from folium.functions.text import is_fill_field, sanitize_inline, self_label
-from folium.sources.markup import TEXT, Node, attribute, deep_text, descendants, parse_xml, rewritten
+from folium.sources.markup import TEXT, Node, parse_html, parse_xml, rewritten, write
 
 #: The tags of blocks and cells, and the attributes that name a text to edit.
 BLOCK_TAGS = ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li")
@@ -105,78 +111,185 @@ def groups(found: DataFrame) -> DataFrame:
     return runs.select("doc_id", F.concat(F.lit("g"), place.cast("string")).alias("group_id"), F.col("m.slot").alias("members"), F.col("m.text").alias("texts"))
 
 
-def table_cells(nodes: DataFrame) -> DataFrame:
-    """doc_id, table, ref (its data-table), row, idx, col (colspans before it), node, text (trimmed) of each cell of each table.
-
-    A cell of an inner table belongs to every table around it, as its rows do.
+# One pass over a document's tree.
+
+_BLANKS = "".join(c for c in map(chr, range(0x10000)) if re.match(f"[{SPACE}]", c))
+SLOT = "slot int, slot_id string, node int, parent int, path array<int>, tag string, attrs map<string, string>, kind string, role string, text string, label string, is_label boolean, in_table boolean, group_id string"
+TABLE = "table int, ref string, heads array<string>"
+_READ = f"doc_id string, slots array<struct<{SLOT}>>, tables array<struct<{TABLE}>>"
+
+
+def _span(text: str | None) -> int:
+    """A colspan as a number; 1 for none, 0 and what is no whole number."""
+    own = (text or "").strip("".join(map(chr, range(33))))
+    n = int(own) if re.fullmatch(r"[+-]?[0-9]+", own) else 1
+    return n if n and -(2**31) <= n < 2**31 else 1
+
+
+def form_of(root: Node) -> tuple[list[dict], list[dict]]:
+    """Slots and repeat tables of a document, as dicts of SLOT and TABLE."""
+    nodes, parent, path = [], [], []
+    waiting = [(x, None, ()) for x in reversed(root.children)]
+    while waiting:
+        x, up, above = waiting.pop()
+        at = len(nodes)
+        nodes.append(x)
+        parent.append(up)
+        path.append(above)
+        if x.children:
+            below = (*above, at)
+            waiting.extend((c, at, below) for c in reversed(x.children))
+    held = [0] * len(nodes)  # 1: something frozen below, 2: something that is or could be a slot, 4: an element
+    looks = [0] * len(nodes)  # the same of the node itself, 8: an edit leaf or a cell of nothing but text
+    for at in range(len(nodes) - 1, -1, -1):
+        x = nodes[at]
+        if x.tag == TEXT:
+            continue
+        leaf = "data-ro" not in x.attrs if "data-cell" in x.attrs else any(k in x.attrs for k in EDIT_IDS)
+        cell = x.tag in CELL_TAGS and not held[at] & 4
+        looks[at] = (1 if any(k in x.attrs for k in FROZEN) else 0) | (8 if leaf or cell else 0) | (2 if leaf or cell or x.tag in BLOCK_TAGS else 0)
+        if parent[at] is not None:
+            held[parent[at]] |= held[at] | looks[at] & 3 | 4
+    labels, again, tables = _tables(nodes, parent, path)
+    out: list[dict] = []
+    over = -1  # the last node below a stop: a node's descendants follow it
+    ends = list(range(len(nodes)))
+    for at in range(len(nodes) - 1, -1, -1):
+        if parent[at] is not None:
+            ends[parent[at]] = max(ends[parent[at]], ends[at])
+    for at, x in enumerate(nodes):
+        if at <= over or x.tag == TEXT:
+            continue
+        block = x.tag in BLOCK_TAGS and not held[at] & 3
+        kind = "frozen" if looks[at] & 1 else "leaf" if looks[at] & 8 else "block" if block else None
+        if kind is None:
+            continue
+        over = ends[at]
+        if kind == "frozen":
+            continue
+        if kind == "block":
+            role_ = "heading" if x.tag[0] == "h" else "listItem" if x.tag == "li" else "body"
+        else:
+            role_ = "cell" if "data-cell" in x.attrs or x.tag in CELL_TAGS else "body"
+        text = "".join(y.text if y.tag == TEXT else "\n" for y in nodes[at + 1 : ends[at] + 1] if y.tag == TEXT or y.tag == "br" and kind == "block")
+        label, is_label = labels.get(at, (None, None))
+        n = len(out)
+        out.append({"slot": n, "slot_id": f"s{n}", "node": at, "parent": parent[at], "path": list(path[at]), "tag": x.tag, "attrs": list(x.attrs.items()), "kind": kind, "role": role_, "text": text, "label": label, "is_label": is_label, "in_table": at in again, "group_id": None})
+    place, run = 0, []
+    for x in [*out, None]:
+        item = x is not None and x["kind"] == "block" and x["role"] == "listItem"
+        if not (run and item and x["parent"] is not None and x["parent"] == run[-1]["parent"]):
+            if len(run) >= GROUP:
+                for y in run:
+                    y["group_id"] = f"g{place}"
+                place += 1
+            run = []
+        if item:
+            run.append(x)
+    return out, tables
+
+
+def _tables(nodes: list[Node], parent: list, path: list[tuple]) -> tuple[dict, set, list[dict]]:
+    """Labels of cells by node, the cells below the head of a repeat table, and these tables.
+
+    A cell of an inner table belongs to every table around it, as its rows do; its label is that of the innermost. A table has a
+    header if it has two rows or more, a first row without blanks and a blank below it.
     """
-    tables = nodes.where("tag = 'table'")
-    rows = descendants(nodes, tables, "tr").select("doc_id", F.col("owner").alias("table"), F.col("node").alias("tr"))
-    rows = rows.withColumn("row", F.row_number().over(Window.partitionBy("doc_id", "table").orderBy("tr")) - 1)
-    cells = nodes.where(F.col("tag").isin(*CELL_TAGS)).select("doc_id", F.col("parent").alias("tr"), "node", "attrs")
-    cells = cells.join(rows, ["doc_id", "tr"])
-    span = F.coalesce(F.nullif(attribute("colspan").try_cast("int"), F.lit(0)), F.lit(1))
-    by_row = Window.partitionBy("doc_id", "table", "row").orderBy("node")
-    cells = cells.withColumn("idx", F.row_number().over(by_row) - 1).withColumn("col", F.coalesce(F.sum(span).over(by_row.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    texts = deep_text(nodes, cells.select("doc_id", "node").distinct())
-    refs = tables.select("doc_id", F.col("node").alias("table"), attribute("data-table").alias("ref"))
-    cells = cells.drop("attrs").join(texts, ["doc_id", "node"]).join(refs, ["doc_id", "table"])
-    return cells.withColumn("text", F.regexp_replace("text", rf"^[{SPACE}]+|[{SPACE}]+\z", ""))
-
-
-def oriented(cells: DataFrame) -> DataFrame:
-    """cells with header: whether the table has two rows or more, a first row without blanks and a blank below it."""
-    by = cells.groupBy("doc_id", "table").agg(
-        F.max("row").alias("rows"), F.min(F.when(F.col("row") == 0, F.col("text") != "")).alias("filled"), F.max(F.when(F.col("row") > 0, F.col("text") == "")).alias("open"),
-    )
-    header = (F.col("rows") >= 1) & F.coalesce("filled", F.lit(False)) & F.coalesce("open", F.lit(False))
-    return cells.join(by.select("doc_id", "table", header.alias("header")), ["doc_id", "table"])
-
-
-def labels(cells: DataFrame) -> DataFrame:
-    """doc_id, node, label, is_label of each cell (of its innermost table): the head of its column, or the cell before it."""
-    cells = oriented(cells)
-    heads = cells.where("header and row = 0").groupBy("doc_id", "table", "col").agg(F.max_by("text", "idx").alias("head"))
-    cells = cells.join(heads, ["doc_id", "table", "col"], "left")
-    before = F.lag("text").over(Window.partitionBy("doc_id", "table", "row").orderBy("idx"))
-    is_label = F.when(F.col("header"), F.col("row") == 0).otherwise(F.col("col") % 2 == 0)
-    label = F.when(F.col("header"), F.when(F.col("row") == 0, F.col("text")).otherwise(F.coalesce("head", F.lit("")))).otherwise(F.when(is_label, F.col("text")).otherwise(F.coalesce(before, F.lit(""))))
-    each = cells.select("doc_id", "table", "node", label.alias("label"), is_label.alias("is_label"))
-    return each.groupBy("doc_id", "node").agg(F.max_by(F.struct("label", "is_label"), "table").alias("x")).select("doc_id", "node", "x.*")
-
-
-def repeat_tables(cells: DataFrame) -> DataFrame:
-    """doc_id, table, ref, heads of the tables with an id whose rows may be repeated: those with a header."""
-    own = oriented(cells).where("header and ref is not null")
-    heads = own.where("row = 0").groupBy("doc_id", "table", "ref").agg(F.array_sort(F.collect_list(F.struct("idx", "text")))["text"].alias("heads"))
-    return heads
-
-
-def fields(nodes: DataFrame) -> DataFrame:
-    """slots() with label, is_label, group_id, in_table (a data row of a repeat table) and send: whether a filler is asked for it."""
-    found = slots(nodes)
-    cells = table_cells(nodes)
-    again = cells.where("row > 0").join(repeat_tables(cells).select("doc_id", "table"), ["doc_id", "table"], "left_semi").select("doc_id", "node").distinct().withColumn("in_table", F.lit(True))
-    member = groups(found).select("doc_id", "group_id", F.explode("members").alias("slot"))
-    out = found.join(labels(cells), ["doc_id", "node"], "left").join(again, ["doc_id", "node"], "left").join(member, ["doc_id", "slot"], "left")
-    out = out.withColumns({"label": F.coalesce(F.nullif("label", F.lit("")), self_label(F.col("text"))), "is_label": F.coalesce("is_label", F.lit(False)), "in_table": F.coalesce("in_table", F.lit(False))})
+    rows: dict[int, list[int]] = {}
+    cells: dict[int, list[int]] = {}
+    for at, x in enumerate(nodes):
+        if x.tag == "table":
+            rows[at] = []
+        elif x.tag == "tr":
+            for up in path[at]:
+                if up in rows:
+                    rows[up].append(at)
+        elif x.tag in CELL_TAGS and parent[at] is not None and nodes[parent[at]].tag == "tr":
+            cells.setdefault(parent[at], []).append(at)
+    texts = {at: nodes[at].deep().strip(_BLANKS) for own in cells.values() for at in own}
+    labels: dict[int, tuple[str, bool]] = {}
+    again: set[int] = set()
+    tables = []
+    for table, trs in rows.items():  # inner tables come after outer ones
+        own = [[(at, texts[at]) for at in cells.get(tr, ())] for tr in trs]
+        first = own[0] if own else []
+        # The last row that holds a cell must come after the first.
+        header = bool(first) and all(t for _, t in first) and any(not t for row in own[1:] for _, t in row)
+        heads: dict[int, str] = {}
+        for n, row in enumerate(own):
+            col, before = 0, ""
+            for at, t in row:
+                if header:
+                    if n == 0:
+                        heads[col] = t
+                    labels[at] = (t if n == 0 else heads.get(col, ""), n == 0)
+                else:
+                    labels[at] = (t if col % 2 == 0 else before, col % 2 == 0)
+                before, col = t, col + _span(nodes[at].attrs.get("colspan"))
+        if header and nodes[table].attrs.get("data-table") is not None:
+            again.update(at for row in own[1:] for at, _ in row)
+            tables.append({"table": table, "ref": nodes[table].attrs["data-table"], "heads": [t for _, t in first]})
+    return labels, again, tables
+
+
+def read(docs: DataFrame, html: str = "html") -> DataFrame:
+    """doc_id, slots, tables of docs (doc_id, the column of markup): a row for each, with arrays of SLOT and TABLE."""
+    kinds = {"int": pa.int32(), "string": pa.string(), "boolean": pa.bool_(), "array<int>": pa.list_(pa.int32()), "array<string>": pa.list_(pa.string()), "map<string, string>": pa.map_(pa.string(), pa.string())}
+    struct = lambda told: pa.list_(pa.struct([(n, kinds[k]) for n, k in re.findall(r"(\w+) (map<string, string>|[^,]+)", told)]))
+    slot, table = struct(SLOT), struct(TABLE)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc, text in zip(batch.column("doc_id"), batch.column("text"), strict=True):
+                found, tables = form_of(parse_html(text.as_py() or ""))
+                yield pa.RecordBatch.from_arrays([pa.array([doc.as_py()], pa.string()), pa.array([found], slot), pa.array([tables], table)], ["doc_id", "slots", "tables"])
+
+    return docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col(html).cast("string").alias("text")).mapInArrow(run, _READ)
+
+
+def slots_in(form: DataFrame) -> DataFrame:
+    """slots() of read()."""
+    return form.select("doc_id", F.inline("slots")).drop("label", "is_label", "in_table", "group_id")
+
+
+def groups_in(form: DataFrame) -> DataFrame:
+    """groups() of read()."""
+    member = F.filter("slots", lambda x: x["group_id"].isNotNull())
+    one = form.select("doc_id", member.alias("m")).select("doc_id", "m", F.explode(F.array_distinct("m.group_id")).alias("group_id"))
+    one = one.select("doc_id", "group_id", F.filter("m", lambda x: x["group_id"] == F.col("group_id")).alias("m"))
+    return one.select("doc_id", "group_id", F.col("m.slot").alias("members"), F.col("m.text").alias("texts"))
+
+
+def repeat_tables(form: DataFrame) -> DataFrame:
+    """doc_id, table, ref, heads of the tables with an id whose rows may be repeated: those with a header. form: read()."""
+    return form.select("doc_id", F.inline("tables"))
+
+
+def fields(form: DataFrame) -> DataFrame:
+    """slots() with label, is_label, group_id, in_table (a data row of a repeat table) and send: whether a filler is asked for it. form: read()."""
+    out = form.select("doc_id", F.inline("slots"))
+    out = out.withColumns({"label": F.coalesce(F.nullif("label", F.lit("")), self_label(F.col("text"))), "is_label": F.coalesce("is_label", F.lit(False))})
     ask = is_fill_field(F.col("text"), F.col("label"))
     return out.withColumn("send", ~F.col("is_label") & F.col("group_id").isNull() & ~F.col("in_table") & ask)
 
 
-def prompt(own: DataFrame, nodes: DataFrame, material: DataFrame, labelled: bool = True) -> DataFrame:
+def prompt(form: DataFrame, material: DataFrame, labelled: bool = True) -> DataFrame:
     """doc_id, prompt: what a filler is told, as JSON: the slots asked for, the groups, the repeat tables and the material.
 
-    own: fields(); material: doc_id, material. Plainly (not labelled), all slots outside groups are told, without labels.
+    form: read(); material: doc_id, material. Plainly (not labelled), all slots outside groups are told, without labels.
     """
-    told = own.where("send") if labelled else own.where("group_id is null")
-    shown = F.struct(F.col("slot_id").alias("id"), *([F.col("label")] if labelled else []), "role", F.col("text").alias("current"))
-    ask = told.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("slot", shown.alias("x"))))["x"].alias("slots"))
-    repeat = groups(own).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("group_id", F.col("texts").alias("examples")))).alias("groups"))
-    tables = repeat_tables(table_cells(nodes)).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("table", "ref", "heads"))).alias("t"))
-    tables = tables.select("doc_id", F.transform("t", lambda t: F.struct(t["ref"].alias("id"), t["heads"].alias("columns"))).alias("tables"))
-    all_ = material.join(ask, "doc_id", "left").join(repeat, "doc_id", "left").join(tables, "doc_id", "left")
-    return all_.select("doc_id", F.to_json(F.struct("slots", "groups", *(["tables"] if labelled else []), "material")).alias("prompt"))
+    label = lambda x: F.coalesce(F.nullif(x["label"], F.lit("")), self_label(x["text"]))
+    send = lambda x: ~F.coalesce(x["is_label"], F.lit(False)) & x["group_id"].isNull() & ~x["in_table"] & is_fill_field(x["text"], label(x))
+    form = form.select("doc_id", F.col("slots").alias("_s"), F.col("tables").alias("_t"))
+    told = F.filter("_s", send if labelled else lambda x: x["group_id"].isNull())
+    ask = F.transform(told, lambda x: F.struct(x["slot_id"].alias("id"), *([label(x).alias("label")] if labelled else []), x["role"].alias("role"), x["text"].alias("current")))
+    member = F.filter("_s", lambda x: x["group_id"].isNotNull())
+    names = F.array_sort(F.array_distinct(F.transform(member, lambda x: x["group_id"])))
+    repeat = F.transform(names, lambda g: F.struct(g.alias("group_id"), F.transform(F.filter(member, lambda x: x["group_id"] == g), lambda x: x["text"]).alias("examples")))
+    tables = F.transform("_t", lambda t: F.struct(t["ref"].alias("id"), t["heads"].alias("columns")))
+    some = lambda x: F.when(F.size(x) > 0, x)
+    every = form.select("doc_id", some(ask).alias("slots"), some(repeat).alias("groups"), some(tables).alias("tables"))
+    return material.join(every, "doc_id", "left").select("doc_id", F.to_json(F.struct("slots", "groups", *(["tables"] if labelled else []), "material")).alias("prompt"))
 
 
 ANSWER = "slots map<string, string>, groups map<string, array<string>>, tables map<string, array<array<string>>>"
@@ -274,13 +387,60 @@ def grow(root: Node, tables: list[dict]) -> None:
 
 
 def filled(docs: DataFrame, html: str, own: DataFrame, given: DataFrame) -> DataFrame:
-    """doc_id, markup of docs (doc_id, html) with the answers filled in; unknown ids are ignored, slots not named stay."""
+    """doc_id, markup of docs (doc_id, html) with the answers filled in; unknown ids are ignored, slots not named stay. own: slots()."""
     docs = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col(html).alias("markup"))
     first_ = rewritten(docs.join(planned(own, given), "doc_id", "left"), "markup", apply)
-    rows = given.select("doc_id", F.transform(F.map_entries(F.coalesce("tables", F.expr("map()").cast("map<string, array<array<string>>>"))), lambda t: F.struct(t["key"].alias("ref"), t["value"].alias("rows"))).alias("edits"))
+    rows = given.select("doc_id", _table_rows().alias("edits"))
     return rewritten(first_.join(rows, "doc_id", "left"), "markup", grow)
 
 
+def _table_rows() -> Column:
+    none = F.expr("map()").cast("map<string, array<array<string>>>")
+    return F.transform(F.map_entries(F.coalesce("tables", none)), lambda t: F.struct(t["key"].alias("ref"), t["value"].alias("rows")))
+
+
+def _edits(found: list[dict], given: dict) -> list[dict]:
+    """planned() of one document. given: slots and groups, lists of structs of a key and its values, plain and sanitised."""
+    groups_: dict[str, list[dict]] = {}
+    for x in found:
+        if x["group_id"] is not None:
+            groups_.setdefault(x["group_id"], []).append(x)
+    by_id = {x["slot_id"]: x for x in found}
+    out, taken = [], set()
+    put = lambda x, i, op, v: out.append((x["slot"], i, {"node": x["node"], "kind": x["kind"], "op": op, "text": v["text"] if x["kind"] == "block" else v["plain"], "plain": v["plain"]}))
+    for g in given["groups"] or ():
+        members = groups_.get(g["key"])
+        if members is None:
+            continue
+        values = g["values"] or []
+        taken.update(x["slot"] for x in members)
+        for i in range(max(len(members), len(values))):
+            put(members[min(i, len(members) - 1)], i, "clone" if i >= len(members) else "set", values[i] if i < len(values) else {"plain": "", "text": ""})
+    for s in given["slots"] or ():
+        x = by_id.get(s["key"])
+        if x is not None and x["slot"] not in taken and s["value"]["plain"] is not None:
+            put(x, 0, "set", s["value"])
+    return [e for *_, e in sorted(out, key=lambda e: e[:2])]
+
+
+def filled_in(docs: DataFrame, html: str, given: DataFrame) -> DataFrame:
+    """filled() of the documents' own slots, found as each is read."""
+    value = lambda v, plain: F.struct(plain.alias("plain"), sanitize_inline(plain).alias("text"))
+    slots_ = F.transform(F.map_entries("slots"), lambda x: F.struct(x["key"].alias("key"), value(x, x["value"]).alias("value")))
+    groups_ = F.transform(F.map_entries("groups"), lambda x: F.struct(x["key"].alias("key"), F.transform(x["value"], lambda v: value(v, F.coalesce(v, F.lit("")))).alias("values")))
+    told = given.select("doc_id", F.struct(slots_.alias("slots"), groups_.alias("groups"), _table_rows().alias("tables")).alias("edits"))
+    docs = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col(html).alias("markup")).join(told, "doc_id", "left")
+
+    def change(root: Node, edits: dict) -> None:
+        if edits:
+            apply(root, _edits(form_of(root)[0], edits))
+        root.children = parse_html(write(root)).children  # tables are found in the markup as filled
+        if edits:
+            grow(root, edits["tables"] or [])
+
+    return rewritten(docs, "markup", change)
+
+
 def fill_counts(own: DataFrame, given: DataFrame) -> DataFrame:
     """doc_id, n_slots, n_asked, n_filled, n_groups. own: fields(); given: answers()."""
     counts = own.groupBy("doc_id").agg(F.count("*").alias("n_slots"), F.count_if("send").alias("n_asked"))

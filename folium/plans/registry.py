@@ -287,8 +287,6 @@ def composed(files: DataFrame, material: DataFrame, name: str, filler: Filler, l
     if a.encode is None or a.decode is None:
         raise UnsupportedError(f"{name} cannot be written back")
     html = a.encode(files).select("doc_id", "html")
-    nodes = html_nodes(html)
-    own = forms.fields(nodes)
-    given = forms.answers(filler(forms.prompt(own, nodes, material, labelled)))
-    edited = forms.filled(html, "html", own, given).select("doc_id", F.col("markup").alias("html"))
+    given = forms.answers(filler(forms.prompt(forms.read(html), material, labelled)))
+    edited = forms.filled_in(html, "html", given).select("doc_id", F.col("markup").alias("html"))
     return a.decode(files, edited)
