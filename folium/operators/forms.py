@@ -13,15 +13,14 @@ from __future__ import annotations
 
 import copy
 import re
-from collections.abc import Iterator
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folium.functions.detect import SPACE
 from folium.functions.text import is_fill_field, sanitize_inline, self_label
 from folium.sources.markup import TEXT, Node, parse_html, parse_xml, rewritten, write
+from folium.sources.tables import by_row
 
 #: The tags of blocks and cells, and the attributes that name a text to edit.
 BLOCK_TAGS = ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li")
@@ -234,17 +233,8 @@ def _tables(nodes: list[Node], parent: list, path: list[tuple]) -> tuple[dict, s
 
 def read(docs: DataFrame, html: str = "html") -> DataFrame:
     """doc_id, slots, tables of docs (doc_id, the column of markup): a row for each, with arrays of SLOT and TABLE."""
-    kinds = {"int": pa.int32(), "string": pa.string(), "boolean": pa.bool_(), "array<int>": pa.list_(pa.int32()), "array<string>": pa.list_(pa.string()), "map<string, string>": pa.map_(pa.string(), pa.string())}
-    struct = lambda told: pa.list_(pa.struct([(n, kinds[k]) for n, k in re.findall(r"(\w+) (map<string, string>|[^,]+)", told)]))
-    slot, table = struct(SLOT), struct(TABLE)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for doc, text in zip(batch.column("doc_id"), batch.column("text"), strict=True):
-                found, tables = form_of(parse_html(text.as_py() or ""))
-                yield pa.RecordBatch.from_arrays([pa.array([doc.as_py()], pa.string()), pa.array([found], slot), pa.array([tables], table)], ["doc_id", "slots", "tables"])
-
-    return docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col(html).cast("string").alias("text")).mapInArrow(run, _READ)
+    make = lambda doc, text: ((doc, *form_of(parse_html(text or ""))),)
+    return by_row(docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col(html).cast("string").alias("text")), make, _READ)
 
 
 def slots_in(form: DataFrame) -> DataFrame:
