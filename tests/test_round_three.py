@@ -32,3 +32,33 @@ def test_rtf_text_of_every_byte():
     data = bytes(range(256)) * 2
     assert decoded(data, 1252) == "".join(b.to_bytes(1).decode("cp1252", "ignore") or chr(b) for b in data)
     assert decoded(b"\xb0\xa1", 949) == "가"
+
+
+def test_codecs_take_whole_texts(spark, tmp_path, monkeypatch):
+    """A text is not the same unless AES gives back its last block too; the reader is given one that spoils what lies beyond 1024 bytes."""
+    from folium.functions import codecs as C
+
+    text = "".join(chr(32 + i * 7 % 90) for i in range(5000))
+    spark.createDataFrame([(1, text), (2, ""), (3, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = catalog.queries()["codec_roundtrips"]
+    assert [r.same for r in found(spark, str(tmp_path)).collect()] == [True] * 3
+    sent = C.aes_cbc_decrypt
+    monkeypatch.setattr(C, "aes_cbc_decrypt", lambda *x, **y: (out := sent(*x, **y))[:1024] + bytes(len(out[1024:])))
+    make = []
+    monkeypatch.setattr("folium.plans.office_queries.by_row", lambda frame, f, schema: make.append(f) or frame.selectExpr("doc_id", "b", "true AS same"))
+    found(spark, str(tmp_path))
+    assert [x[2] for x in make[0](1, text.encode())] == [False] and [x[2] for x in make[0](1, b"short")] == [True]
+
+
+def test_ciphers_and_ascii85_on_odd_lengths():
+    import base64
+    import random
+
+    from folium.functions import codecs as C
+
+    r = random.Random(3)
+    for n in range(60):
+        key, iv, data = r.randbytes((16, 24, 32)[n % 3]), r.randbytes(16), r.randbytes(16 * n)
+        assert C.aes_cbc_decrypt(key, C.aes_cbc_encrypt(key, iv, data), iv, padded=False) == data
+        assert C.ascii85(base64.a85encode(data[:n]) + b"~>") == data[:n]
+    assert C.ascii85(b"!!zA\nBCDE F") == C.ascii85(b"!!ABC" + b"DEF") != b""
