@@ -62,3 +62,21 @@ def test_ciphers_and_ascii85_on_odd_lengths():
         assert C.aes_cbc_decrypt(key, C.aes_cbc_encrypt(key, iv, data), iv, padded=False) == data
         assert C.ascii85(base64.a85encode(data[:n]) + b"~>") == data[:n]
     assert C.ascii85(b"!!zA\nBCDE F") == C.ascii85(b"!!ABC" + b"DEF") != b""
+
+
+def test_spreadsheets_in_one_pass(spark, sf_dir):
+    """Each file is made in one step and read in one, without joins of its cells; markup of another shape is read tolerantly."""
+    for name, most in (("xlsx_cells", 2), ("xlsx_encoded", 2)):
+        plan = catalog.queries()[name](spark, sf_dir)._jdf.queryExecution().sparkPlan().toString()
+        assert plan.count("MapInArrow") <= most and "Join" not in plan and "Window" not in plan, name
+    from folium.sources import sheets
+
+    xml = b'<worksheet><dimension ref="A1:B2"/><c r="B2" t="s" s="3"><v> 1</v><v>0</v></c><c r="A1" t="inlineStr"><v>9</v><is><t>in<x>ner</x></t></is></c><c r="a2"><v>5</v></c><c r="A2"/><c r="?" t="s"><v>7</v></c></worksheet>'
+    parts = {"xl/worksheets/sheet2.xml": xml, "xl/worksheets/sheet10.xml": b"<broken", "xl/sharedStrings.xml": f"<sst {X}><si><t>a</t></si><si><r><t>b</t></r><r><t>&lt;c</t></r></si></sst>".encode()}
+    assert [(i, s, d, c) for i, _, s, d, c in sheets.book_of(parts)] == [(0, "Sheet1", ["A1:B2"], {(1, 1): (3, "b<c"), (0, 0): (None, ""), (1, 0): (None, "")}), (1, "Sheet2", [], {})]
+    html = sheets._editable(parts)
+    assert sheets._AS_WRITTEN.fullmatch(html) and list(sheets._texts(html)) == [("Sheet1!A1", ""), ("Sheet1!B1", ""), ("Sheet1!A2", ""), ("Sheet1!B2", "b<c"), ("Sheet2!A1", "")]
+    assert dict(sheets._texts(html.replace("b&lt;c", "b&lt;c<br>d"))) == dict(sheets._texts(html)) | {"Sheet1!B2": "b<c\nd"}
+
+
+X = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
